@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +48,11 @@ def meta_tokens(source, lang, n_chars) -> list[int]:
     return [h(x, 3) % DIM for x in (f"s={source}", f"l={lang}", f"n={size}", f"s={source} l={lang}", f"l={lang} n={size}")]
 
 
-def sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, weight) with weights that sum to 1 in each row."""
+def sparse(rows: list, weights: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, weight); without weights, features of a row weigh the same and sum to 1."""
     n = np.array([len(r) for r in rows])
-    feature = np.fromiter((f for r in rows for f in r), np.int64, int(n.sum()))
     row = np.repeat(np.arange(len(rows)), n)
-    return row, feature, 1 / n[row]
+    return row, np.concatenate([np.asarray(r, np.int64) for r in rows]), 1 / n[row] if weights is None else np.concatenate([np.asarray(w, float) for w in weights])
 
 
 def scores(x, w: np.ndarray, n: int) -> np.ndarray:
@@ -93,9 +93,9 @@ def take(x, rows: np.ndarray, n: int):
     return where[x[0][ok]], x[1][ok], x[2][ok]
 
 
-def co_train(text: list, meta: list, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> dict:
+def co_train(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> dict:
     """y: 1, 0, or -1 for the pool; fold 0 trains, 1 calibrates, 2 sets the cutoff. Returns weights, calibration and cutoff."""
-    n, views = len(y), [sparse(text), sparse(meta)]
+    n, views = len(y), [text, meta]
     neutral = {"w": [np.zeros(DIM + 1)] * 2, "platt": [np.zeros(2)] * 2, "mix": np.zeros(3), "cutoff": 0.0}
     labelled = (y >= 0) & (fold == 0)
     if len({*y[labelled]}) < 2:
@@ -139,15 +139,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         for b in batches:
-            texts = [sorted({f for w in set((t or "").split()) for f in tokens(w)}) for t in b.column(1).to_pylist()]
+            texts = [Counter(f for w in (t or "").split() for f in tokens(w)) for t in b.column(1).to_pylist()]
             meta = [meta_tokens(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(texts, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))], names=["id", "y", "text", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), *(pa.array([np.array([*f], k).tobytes() for f in x], pa.binary()) for x, k in ((texts, np.int32), ([t.values() for t in texts], np.float32), (meta, np.int32)))], names=["id", "y", "text", "counts", "meta"])
 
-    got = sorted(rows.mapInArrow(run, "id long, y int, text array<int>, meta array<int>").toLocalIterator(), key=lambda r: (r["id"], r["text"]))
+    got = sorted(rows.mapInArrow(run, "id long, y int, text binary, counts binary, meta binary").toLocalIterator(), key=lambda r: (r["id"], r["text"]))
     from xxhash import xxh32_intdigest as h
 
     fold = np.array([(0, 0, 0, 1, 2)[h(str(r["id"]), 4) % 5] for r in got])
-    return co_train([r["text"] or [0] for r in got], [r["meta"] for r in got], np.array([r["y"] for r in got]), fold)
+    if not got:
+        return co_train((), (), np.zeros(0, int), fold)
+    counts = [np.frombuffer(r["counts"], np.float32) for r in got]
+    text_view = sparse([np.frombuffer(r["text"], np.int32) for r in got], [2 * c / max(1, c.sum()) for c in counts])
+    return co_train(text_view, sparse([np.frombuffer(r["meta"], np.int32) for r in got]), np.array([r["y"] for r in got]), fold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
@@ -158,20 +162,20 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def run(batches):
         m, known = model.value, {}
         w, wm = m["w"]
+
+        def weigh(word):
+            got = float(w[tokens(word)].sum())
+            if len(word) <= 64:
+                if len(known) > 400_000:
+                    known.clear()
+                known[word] = got
+            return got
+
         for b in batches:
             z = np.zeros((b.num_rows, 2))
             for i, (t, s, l, n) in enumerate(zip(*(b.column(k) for k in (1, 2, 3, 4)), strict=True)):
-                found = set()
-                for x in set((t.as_py() or "").split()):
-                    f = known.get(x)
-                    if f is None:
-                        f = tokens(x)
-                        if len(x) <= 64:
-                            if len(known) > 300_000:
-                                known.clear()
-                            known[x] = f
-                    found.update(f)
-                z[i, 0] = (w[list(found)].mean() if found else w[0]) + w[-1]
+                words = (t.as_py() or "").split()
+                z[i, 0] = sum([known.get(x) or weigh(x) for x in words]) / max(1, len(words)) + w[-1]
                 z[i, 1] = wm[meta_tokens(s.as_py(), l.as_py(), n.as_py())].mean() + wm[-1]
             odds = np.stack([z[:, v] * m["platt"][v][0] + m["platt"][v][1] for v in (0, 1)], 1)
             both = np.stack((odds[:, 0], odds[:, 1], odds @ m["mix"][:2] + m["mix"][2]), 1)
