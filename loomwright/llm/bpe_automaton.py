@@ -181,6 +181,10 @@ class MergeAutomaton:
         return out[::-1]
 
 
+def joined(parts: list[tuple[int, bytes, str]]) -> tuple[int, bytes, str]:
+    return sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), " ".join([p[2] for p in parts if p[0]])
+
+
 class WordCodec:
     """Normalization, pre-splitting and added tokens around the automaton, with a bounded memo of whole words."""
 
@@ -196,6 +200,7 @@ class WordCodec:
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the vocabulary doesn't
         self.alphabet = byte_alphabet()
         self._words: dict[str, tuple[int, bytes, str]] = {}
+        self._pieces: dict[str, tuple[int, bytes, str]] = {}
 
     def split(self, word: str) -> list[str]:
         """Pieces of one word without white space, in the byte alphabet."""
@@ -207,12 +212,23 @@ class WordCodec:
             return found if word.isprintable() else ["".join(map(self.alphabet.__getitem__, p.encode())) for p in found]
         return ["".join(map(self.alphabet.__getitem__, p.encode())) for p in found]
 
+    def piece(self, piece: str) -> tuple[int, bytes, str]:
+        got = self._pieces.get(piece)
+        if got is None:
+            ids = self.automaton.encode(piece)
+            got = len(ids), struct.pack(f"<{len(ids)}I", *ids), self.spell(ids)
+            if len(piece) <= 64:
+                if len(self._pieces) >= MEMO:
+                    self._pieces.clear()
+                self._pieces[piece] = got
+        return got
+
     def word(self, word: str) -> tuple[int, bytes, str]:
         """(number of tokens, ids as little-endian 32 bits, arc labels joined by blanks)."""
         got = self._words.get(word)
         if got is None:
-            ids = [i for p in self.split(word) for i in self.automaton.encode(p)]
-            got = len(ids), struct.pack(f"<{len(ids)}I", *ids), self.spell(ids)
+            parts = [self.piece(p) for p in self.split(word)]
+            got = parts[0] if len(parts) == 1 else joined(parts)
             if len(word) <= 64:
                 if len(self._words) >= MEMO:
                     self._words.clear()
@@ -241,7 +257,7 @@ class WordCodec:
         else:
             known = self._words
             got = [known.get(w) or self.word(w) for w in text.split()]
-        return sum([g[0] for g in got]), b"".join([g[1] for g in got]), " ".join([g[2] for g in got if g[0]])
+        return joined(got)
 
     def decode(self, ids: bytes) -> str:
         return self.spell(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
