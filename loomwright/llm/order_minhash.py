@@ -8,10 +8,12 @@ Similarity of two texts: m / (a + b - m), with a and b their numbers of shingles
 in the same order within a diagonal band (a banded alignment; labelled shingles occur once, so it is a longest increasing
 subsequence). Pairs at 0.8 or more are linked; classes are connected components.
 
-Work: equal texts collapse first (two 64-bit hashes and the length). Each bucket then links its members to one hub rather
-than to each other. Members that no link has joined to the rest get more hubs, up to HUBS a round, until every bucket has
-either become one class or had a member of each of its classes as a hub; nothing is capped. Before texts are fetched, pairs
-must agree in length (exact) and in the sketches' minima (LIKELY, several standard deviations below what 0.8 gives).
+Work: equal texts collapse first (two 64-bit hashes and the length). A bucket links its members to one hub rather than to
+each other, so a bucket of m texts gives m - 1 pairs however large it is. While a bucket holds several classes it gets
+another hub from a class without one, ROUNDS in all. A pair that shares buckets is thus compared directly if one of the two
+is a hub in any of them, and otherwise through the hubs that both match; what that loses is measured in the README. Before
+texts are fetched, pairs must agree in length (exact) and in the sketches' minima (LIKELY, six standard deviations below
+what 0.8 gives).
 
 Results by case: null texts have no class of others (each row is alone, ``class_id`` its own id); empty and wordless texts
 likewise; texts of under five words are one shingle; repeated rows and ties share a class, whose id is the smallest
@@ -33,8 +35,9 @@ from loomwright.llm.base import WORD, stored
 
 K, SIMILAR = 5, 0.8
 BANDS, LENGTH = 32, 6
-LIKELY = 0.68
-HUBS = 64
+LIKELY = 0.75
+#: Hubs that a bucket gets one after the other, while it holds several classes.
+ROUNDS = 3
 #: Matches may lie this share of the longer text off the diagonal, and at least BAND shingles.
 SLACK, BAND = 0.25, 64
 
@@ -248,7 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = members.drop("hub")
     links, roots = stored(hubs.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b")), "links"), None
     state, used, compared = members.withColumn("root", F.col("rep")), hubs, None
-    while True:
+    for turn in range(ROUNDS):
         h = hubs.select("bucket", F.col("rep").alias("y"), F.col("root").alias("ry")).join(members.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny")), ["bucket", "y"])
         pairs = state.join(h, "bucket").where(f"root <> ry AND n >= {SIMILAR} * ny AND ny >= {SIMILAR} * n")
         pairs = pairs.select(F.greatest("rep", "y").alias("a"), F.least("rep", "y").alias("b")).distinct()
@@ -262,12 +265,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             links = stored(links.union(verified(full).distinct()), "links")
             roots = components(links)
             state = stored(members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "state")
-        # Next: a member of every class that no hub of the bucket has stood for, where a bucket holds several classes.
+        if turn + 1 == ROUNDS:
+            break
+        # Next: a member of a class that no hub of the bucket has stood for, where a bucket holds several classes.
         marked = state.join(used.select("bucket", "rep", F.lit(1).alias("hub")), ["bucket", "rep"], "left")
         classes = marked.groupBy("bucket", "root").agg(F.min("rep").alias("rep"), F.max("hub").alias("hub"))
         several = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.count("hub").alias("served")).where("k > 1 AND served < k")
         rest = classes.where("hub IS NULL").join(several, "bucket", "left_semi")
-        hubs = stored(rest.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("slot")).agg(F.min_by(F.struct("rep", "root"), "rep").alias("h")).select("bucket", "h.*"), "hubs")
+        hubs = stored(rest.groupBy("bucket").agg(F.min("rep").alias("rep"), F.min_by("root", "rep").alias("root")), "hubs")
         if hubs.isEmpty():
             break
         used = used.union(hubs)
