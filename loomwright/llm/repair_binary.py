@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 SHARD_IDS = 1 << 20
 #: Rounds and nonterminals for each; a pair must occur this often in its shard.
 ROUNDS, PAIRS, LEAST = 2, 4096, 16
-MEMO = 400_000
+MEMO = 150_000
 
 SHARDS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("base", T.LongType()),
@@ -57,8 +58,13 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
             break
         top = often[np.lexsort((often, -counts[often]))[:pairs]]
         chosen = np.sort(order[starts[top]])
-        at = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
-        hit = (chosen[at] == codes) & free
+        place = lambda c: (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+        slots = place(chosen)  # a table of 2^18 slots finds a code's rule; the few pairs that share a slot wait for the next round
+        chosen = chosen[np.bincount(slots.astype(np.int64), minlength=1 << 18)[slots] == 1]
+        table = np.zeros(1 << 18, np.int32)
+        table[place(chosen)] = np.arange(len(chosen))
+        at = table[place(codes)]
+        hit = free & (chosen[at] == codes) if len(chosen) else free & False
         where = np.flatnonzero(hit)
         run = np.concatenate(([True], np.diff(where) > 1))  # overlapping occurrences: take every other one from the left
         first = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
@@ -118,43 +124,38 @@ class ByteEncoder:
         self.tokenizer.no_padding()
         self.units = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, self.added))).search
-        self.tail = re.compile(r"( ?[A-Za-z]+)([.,]?)").fullmatch
+        self.ends = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def _batch(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units; letters and a full stop or comma behind them are separate pieces, so their stems are looked up once."""
+        if len(self.stems) > MEMO:
+            self.stems.clear()
+        stems, ends = self.stems, self.ends
+        stem = {u: u[:-1] if u[-1] in ends and (s := u[1:-1] if u[0] == " " else u[:-1]).isalpha() and s.isascii() else u for u in units}
+        new = [x for x in {*stem.values()} if x not in stems]
+        stems.update(zip(new, self._batch(new), strict=True))
+        out = {u: stems[x] if x is u else stems[x] + ends[u[-1]] for u, x in stem.items()}
+        for x in new:
+            if len(x) > 64:
+                del stems[x]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32 bits each."""
-        known, whole = self.known, [bool(self.odd(t)) for t in texts]
+        known, split = self.known, [[] if self.odd(t) else self.units(t) for t in texts]
         if len(known) > MEMO:
             known.clear()
-        split = [[t] if odd else self.units(t) for t, odd in zip(texts, whole, strict=True)]
-        new, own = {u for us, odd in zip(split, whole, strict=True) if not odd for u in us if u not in known}, {}
-        parts, stems = {}, set()
-        if len(self.stems) > MEMO:
-            self.stems.clear()
-        for u in new:  # letters and a full stop or comma after them are separate pieces
-            m = self.tail(u)
-            parts[u] = (u,) if m is None or not m[2] else m.groups()
-            stems.update(p for p in parts[u] if p not in self.stems)
-        stems = list(stems)
-        for u, ids in zip(stems, self._batch(stems), strict=True):
-            self.stems[u] = ids
-        for u, ps in parts.items():
-            got = b"".join([self.stems[p] for p in ps])
-            (known if len(u) <= 64 else own)[u] = got
-        out = []
-        for us, odd in zip(split, whole, strict=True):
-            if odd:
-                out += self._batch(us)
-            elif own:
-                out.append(b"".join([known[u] if u in known else own[u] for u in us]))
-            else:
-                out.append(b"".join(map(known.__getitem__, us)))
-        for u in [u for u in self.stems if len(u) > 64] if own else ():
-            del self.stems[u]
+        new = self._learn({u for u in set().union(*split) if u not in known})
+        long = {u for u in new if len(u) > 64}
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, us)) if us else self._batch([t])[0] for us, t in zip(split, texts, strict=True)]
+        for u in long:
+            del known[u]
         return out
 
 
@@ -191,8 +192,8 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", tex
         encoder, part, end, arrow = byte_encoder(raw.value), TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), to_arrow_schema(SHARDS)
         base, keys, chunks, size, shard, offset = max(encoder.size, end_id + 1), [], [], 0, 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 for k, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
                     keys.append(k)
                     chunks.append(ids + end)
