@@ -98,7 +98,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bodies = stored(bodies, "bodies")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest", F.col("first").alias("f"))
     # bytes are compared by grouping and joining on the text itself: equal hashes of different texts fall apart here
-    firsts = bodies.groupBy(*same, "body").agg(F.min(order).alias("o"), F.max(order).alias("z")).where("o < z").select(*same, "body", "o")
+    firsts = stored(bodies.groupBy(*same, "body").agg(F.min(order).alias("o"), F.max(order).alias("z")).where("o < z").select(*same, "body", "o"), "firsts")
     return bodies.join(firsts, [*same, "body"]).where(order > F.col("o")).select("doc_id", "digest", "first", "last").distinct()
 
 
