@@ -129,7 +129,7 @@ class MergeAutomaton:
                     break
                 else:
                     at, t = born[t], left[t]
-            if len(self._known) > 4 * MEMO:
+            if len(self._known) > 2 * MEMO:
                 self._known.clear()
             self._known[key] = known
         return known
@@ -259,6 +259,12 @@ class WordCodec:
             got = [known.get(w) or self.word(w) for w in text.split()]
         return joined(got)
 
+    def release(self) -> None:
+        """Give memos back when a task ends: the worker process lives on and may run other operators next."""
+        self._words, self._pieces = {}, {}
+        self.automaton.reset()
+        self.automaton._known, self.automaton._arcs = {}, {0: {}}
+
     def decode(self, ids: bytes) -> str:
         return self.spell(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
 
@@ -276,7 +282,7 @@ def vocabulary(df: DataFrame, path: str):
 
 
 def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
-    """df with the columns of make()(text) appended; make runs once for each task and every text gives a tuple of values.
+    """df with columns appended: make() gives a function of a text, which returns their values, and one to call when a task ends.
 
     Columns of df that clash with the new ones are replaced. Batches are cut after OUT_BYTES of text.
     """
@@ -288,7 +294,7 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        one, arrow = make(), to_arrow_schema(schema)
+        (one, release), arrow = make(), to_arrow_schema(schema)
         for batch in batches:
             texts, start, size, rows = batch.column(len(names)), 0, 0, []
             for i in range(batch.num_rows):
@@ -301,6 +307,7 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
                     cols += [pa.array([r[k] for r in rows], arrow.field(len(names) + k).type) for k in range(len(fields))]
                     yield pa.RecordBatch.from_arrays(cols, schema=arrow)
                     start, size, rows = i + 1, 0, []
+        release()
 
     return src.mapInArrow(run, schema)
 
@@ -311,8 +318,9 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", decoded: bool = Tr
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
     def make():
-        run = codec(raw.value).encode
-        return run if decoded else lambda t: run(t)[:2]
+        c = codec(raw.value)
+        run = c.encode
+        return (run if decoded else lambda t: run(t)[:2]), c.release
 
     return map_texts(df, text, fields if decoded else fields[:2], make)
 

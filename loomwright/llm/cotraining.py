@@ -166,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         def weigh(word):
             got = float(w[tokens(word)].sum())
             if len(word) <= 64:
-                if len(known) > 400_000:
+                if len(known) > 150_000:
                     known.clear()
                 known[word] = got
             return got

@@ -56,7 +56,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of labelled shingles; words are hashed once while they stay in a bounded memo."""
 
-    def __init__(self, memo: int = 300_000):
+    def __init__(self, memo: int = 150_000):
         import xxhash
 
         self.memo, self.known, self.hash = memo, {}, xxhash.xxh3_64_intdigest

@@ -203,6 +203,7 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", tex
                         keys, chunks, size, shard, offset = [], [], 0, shard + 1, offset + size
         if keys:
             yield pa.RecordBatch.from_pylist([shard_row(part, shard, offset, keys, chunks, base)], schema=arrow)
+        encoder.known, encoder.stems = {}, {}  # the worker process lives on
 
     rows.mapInArrow(run, SHARDS).write.parquet(path)
 

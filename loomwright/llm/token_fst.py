@@ -85,6 +85,12 @@ class TextCounter:
         self._words: dict[str, int] = {}
         self.first = re.compile(f"[{SPACES}]").search
 
+    def release(self) -> None:
+        """Give memos back when a task ends."""
+        self._words = {}
+        self.fst._reset()
+        self.codec.release()
+
     def word(self, word: str) -> int:
         n = self._words.get(word)
         if n is None:
@@ -143,12 +149,12 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
     def make():
-        count = counter(raw.value).count
+        c = counter(raw.value)
 
         def one(t):
-            n = count(t or "")
+            n = c.count(t or "")
             return len((t or "").encode()), n, n > limit
 
-        return one
+        return one, c.release
 
     return map_texts(df, text, fields, make)
