@@ -101,3 +101,15 @@ def test_recall_of_the_registered_factor(spark, sf):
         s[a] = -np.inf
         want |= {(int(ids[a]), int(ids[b])) for b in np.argsort(-s, kind="stable")[:20]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_targets_against_sql(spark, sf):
+    import duckdb
+
+    from loomwright.llm.oracle import TARGETS
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {s: (n, t) for s, n, t in con.execute(TARGETS).fetchall()}
+    got = {r.source: (r.source_size, r.target) for r in mixing.plan(spark.read.parquet(sf + "/documents.parquet")).collect()}
+    assert got.keys() == want.keys() and all(got[s][0] == want[s][0] and got[s][1] == pytest.approx(want[s][1]) for s in got)
