@@ -31,8 +31,13 @@ def find_native(name: str) -> str | None:
     return next((k for n, k in NATIVE.items() if n.lower() == name.lower()), None)
 
 
+def declared_format(s: dict) -> str | None:
+    """An extension key ``x-...-format`` comes before the standard one."""
+    return next((v for k, v in s.items() if k.startswith("x-") and k.endswith("-format")), s.get("format"))
+
+
 def integer_type(s: dict) -> T.DataType:
-    kind = s.get("x-dtkt-format") or s.get("format")
+    kind = declared_format(s)
     if kind in ("int32", "int64", "uint32", "uint64"):
         return KINDS[kind.upper()]
     if s.get("minimum", -1) >= 0:
@@ -57,7 +62,7 @@ def from_json_schema(s: dict, root: dict | None = None) -> T.DataType:
     if kind == "integer":
         return integer_type(s)
     if kind == "number":
-        return T.FloatType() if (s.get("x-dtkt-format") or s.get("format")) == "float" else T.DoubleType()
+        return T.FloatType() if (declared_format(s)) == "float" else T.DoubleType()
     if kind == "array":
         return T.ArrayType(from_json_schema(s.get("items", {}), root))
     if kind == "object":

@@ -174,6 +174,7 @@ def test_json_schema(spark):
     plain = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.ArrayType(T.StringType()), False), T.StructField("c", T.StructType([T.StructField("d", T.DoubleType())]))])
     assert types.from_json_schema(types.to_json_schema(plain)).simpleString() == plain.simpleString()
     assert types.find_native("BigInt") == "INT64"
+    assert types.from_json_schema({"type": "integer", "x-own-format": "uint64", "format": "int32"}) == T.DecimalType(20, 0)
 
 
 def test_actions(spark):
