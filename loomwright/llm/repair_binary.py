@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 SHARD_IDS = 1 << 20
 #: Rounds and nonterminals for each; a pair must occur this often in its shard.
 ROUNDS, PAIRS, LEAST = 2, 4096, 16
-MEMO = 150_000
+#: Pieces whose ids a worker remembers, about 60 bytes each.
+MEMO = 600_000
 
 SHARDS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("base", T.LongType()),
@@ -108,10 +109,52 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+#: Classes of bytes: blank, other white space, letter, digit, other ASCII, apostrophe, byte of a character beyond ASCII.
+BLANK, SPACE, LETTER, DIGIT, OTHER, QUOTE, BEYOND = range(7)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    for b in range(256):
+        c = chr(b)
+        out[b] = BEYOND if b > 127 else BLANK if c == " " else SPACE if c in "\t\n\v\f\r" else QUOTE if c == "'" else LETTER if c.isalpha() else DIGIT if c.isdigit() else OTHER
+    return out
+
+
+def _borders() -> np.ndarray:
+    """Whether a piece starts between two bytes, by class before * 8 + class after; the last white space of a run comes on top.
+
+    The vocabulary's pre-split never joins ASCII letters, digits and other characters, but for an apostrophe and letters
+    after it; one blank belongs to what follows. Characters beyond ASCII stay with their neighbours.
+    """
+    out = np.zeros(64, bool)
+    for x in range(7):
+        for y in range(7):
+            if y in (BLANK, SPACE):
+                out[x * 8 + y] = x not in (BLANK, SPACE)
+            elif x in (BLANK, SPACE):
+                out[x * 8 + y] = x == SPACE
+            elif BEYOND not in (x, y):
+                kind = [OTHER if z == QUOTE else z for z in (x, y)]
+                out[x * 8 + y] = kind[0] != kind[1] and not (x == QUOTE and y == LETTER)
+    return out
+
+
+CLASSES, BORDERS = _classes(), _borders()
+#: White space beyond ASCII; a text that holds some is encoded as a whole.
+WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+WIDE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+#: The longest piece, in bytes, whose ids are found by table; bits of the table, places that a key may take, pieces looked up at once.
+SHORT, BITS, PROBES, BLOCK = 23, 22, 4, 1 << 19
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class ByteEncoder:
-    """The tokenizers library, called once for each distinct unit: an optional blank and what follows to the next white space.
+    """The tokenizers library, called once for each distinct piece of text; pieces are cut and looked up as arrays.
 
-    The vocabulary's pre-split never joins two units, so a text's ids are its units' ids in a row.
+    A piece of up to SHORT bytes is its own key (three words of 8 bytes, the last with its length), so a lookup in the
+    hash table compares whole pieces. Longer pieces, and the few for which the table has no free place, are kept in a
+    dict. All is forgotten when MEMO pieces are known. Ids of a text are the ids of its pieces in a row.
     """
 
     def __init__(self, raw: bytes):
@@ -119,44 +162,137 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.size = self.tokenizer.get_vocab_size()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.units = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, self.added))).search
-        self.ends = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ".,"}
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _batch(self, units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units; letters and a full stop or comma behind them are separate pieces, so their stems are looked up once."""
-        if len(self.stems) > MEMO:
-            self.stems.clear()
-        stems, ends = self.stems, self.ends
-        stem = {u: u[:-1] if u[-1] in ends and (s := u[1:-1] if u[0] == " " else u[:-1]).isalpha() and s.isascii() else u for u in units}
-        new = [x for x in {*stem.values()} if x not in stems]
-        stems.update(zip(new, self._batch(new), strict=True))
-        out = {u: stems[x] if x is u else stems[x] + ends[u[-1]] for u, x in stem.items()}
-        for x in new:
-            if len(x) > 64:
-                del stems[x]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32 bits each."""
-        known, split = self.known, [[] if self.odd(t) else self.units(t) for t in texts]
-        if len(known) > MEMO:
-            known.clear()
-        new = self._learn({u for u in set().union(*split) if u not in known})
-        long = {u for u in new if len(u) > 64}
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, us)) if us else self._batch([t])[0] for us, t in zip(split, texts, strict=True)]
-        for u in long:
-            del known[u]
-        return out
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.needles = [*added, *WIDE_SPACES]
+        self.odd = re.compile(b"|".join([*map(re.escape, added), WIDE_SPACE]))
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.zeros(1 << BITS, np.int32)
+        self.words = np.zeros((1, 3), np.uint64)  # entry 0 is no piece: its length is 0
+        self.at, self.count, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.rest: dict[bytes, int] = {}
+
+    @staticmethod
+    def _hash(words: np.ndarray) -> np.ndarray:
+        h = words[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29)) ^ words[:, 1]) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(31)) ^ words[:, 2]) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def _find(self, words: np.ndarray) -> np.ndarray:
+        """Entry of each key, 0 if unknown."""
+        h = self._hash(words)
+        found = self.table[h]
+        found[(self.words[found] != words).any(1)] = 0
+        for p in range(1, PROBES):
+            left = np.flatnonzero(found == 0)
+            if not len(left):
+                break
+            e = self.table[(h[left] + p) & ((1 << BITS) - 1)]
+            found[left] = np.where((self.words[e] == words[left]).all(1), e, 0)
+        return found
+
+    def _learn(self, pieces: list[bytes], words: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """New entries for distinct pieces."""
+        new = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)]
+        count = np.array([len(x) for x in new], np.int64)
+        entry = len(self.count) + np.arange(len(new))
+        self.at = np.concatenate((self.at, len(self.pool) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.pool = np.concatenate((self.pool, np.array([i for x in new for i in x], np.uint32)))
+        self.words = np.concatenate((self.words, np.where(short[:, None], words, 0)))
+        left = np.flatnonzero(short)
+        h = self._hash(words)
+        for p in range(PROBES):
+            place = (h[left] + p) & ((1 << BITS) - 1)
+            free = self.table[place] == 0
+            place, first = np.unique(place[free], return_index=True)
+            took = np.flatnonzero(free)[first]
+            self.table[place] = entry[left[took]]
+            left = np.delete(left, took)
+        for k in (*np.flatnonzero(~short).tolist(), *left.tolist()):
+            self.rest[pieces[k]] = int(entry[k])
+        return entry
+
+    def _pieces(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where pieces start."""
+        kind = CLASSES[buf]
+        lead = np.flatnonzero(buf[:-1] == 0xC3)  # Latin letters of two bytes
+        tail = buf[lead + 1]
+        lead = lead[(tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        start = np.ones(len(buf), bool)
+        start[1:] = BORDERS[(kind[:-1] << 3) | kind[1:]]
+        space = kind <= SPACE
+        lone = space[:-1].copy()  # the last white space of a run, if more of the text follows
+        lone[1:] &= space[:-2]
+        lone &= ~space[1:]
+        inner = bounds[1:-1]
+        inner = inner[(inner > 0) & (inner < len(buf))]
+        lone[inner - 1] = False
+        start[:-1] |= lone
+        start[inner] = True
+        return np.flatnonzero(start)
+
+    def _plain(self, blob: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) for texts that lie one after the other between the bounds."""
+        if not blob:
+            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        padded = np.frombuffer(blob + bytes(32), np.uint8)
+        starts = self._pieces(padded[: len(blob)], bounds)
+        size = np.diff(np.append(starts, len(blob)))
+        eight = np.ndarray((len(blob) + 24,), "<u8", padded, strides=(1,))
+        ids, counts = [], []
+        for k in range(0, len(starts), BLOCK):
+            if len(self.count) > MEMO:
+                self.clear()
+            s, n = starts[k : k + BLOCK], size[k : k + BLOCK]
+            words = np.stack([eight[np.minimum(s + 8 * j, len(blob))] & LOW_BYTES[np.clip(n - 8 * j, 0, 8)] for j in range(3)], 1)
+            short = n <= SHORT
+            words[:, 2] |= np.where(short, n, 0).astype(np.uint64) << np.uint64(56)
+            found = np.where(short, self._find(words), 0)
+            miss = np.flatnonzero(found == 0)
+            if len(miss):
+                pieces = [blob[x : x + m] for x, m in zip(s[miss].tolist(), n[miss].tolist(), strict=True)]
+                first = {p: i for i, p in enumerate(pieces) if p not in self.rest}
+                at = miss[list(first.values())]
+                entries = self._learn(list(first), words[at], short[at]) if first else []
+                new = dict(zip(first, np.asarray(entries).tolist(), strict=True))
+                found[miss] = [new[p] if p in new else self.rest[p] for p in pieces]
+                for p in new:
+                    if len(p) > 256:
+                        self.rest.pop(p, None)
+            c = self.count[found]
+            base = np.repeat(self.at[found] - (np.cumsum(c) - c), c)
+            ids.append(self.pool[base + np.arange(len(base))])
+            counts.append(c)
+        upto = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        return np.concatenate(ids), np.diff(upto[np.searchsorted(starts, bounds)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        bounds = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        blob = bytes(memoryview(texts.buffers()[2])[bounds[0] : bounds[-1]]) if bounds[-1] > bounds[0] else b""
+        bounds -= bounds[0]
+        if not any(x in blob for x in self.needles):
+            return self._plain(blob, bounds)
+        whole = {i for m in self.odd.finditer(blob) for i in range(*np.searchsorted(bounds, [m.start(), m.end() - 1], "right") - [1, 0])}
+        ids, counts, done = [], [], 0
+        for i in [*sorted(whole), len(texts)]:
+            if i > done:
+                some, n = self._plain(blob[bounds[done] : bounds[i]], bounds[done : i + 1] - bounds[done])
+                ids.append(some)
+                counts.append(n)
+            if i < len(texts):
+                e = self.tokenizer.encode_batch_fast([blob[bounds[i] : bounds[i + 1]].decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+                ids.append(np.array(e, np.uint32))
+                counts.append(np.array([len(e)]))
+            done = i + 1
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 @lru_cache(2)
@@ -167,16 +303,25 @@ def byte_encoder(raw: bytes) -> ByteEncoder:
     return ByteEncoder(raw)
 
 
-def shard_row(part: int, shard: int, offset: int, keys: list, chunks: list[bytes], base: int) -> dict:
-    ids = np.frombuffer(b"".join(chunks), np.uint32)
+def shard_row(part: int, shard: int, offset: int, keys: list, ids: np.ndarray, ends: np.ndarray, base: int) -> dict:
+    """ends: behind the last id of each document."""
     last = np.zeros(len(ids), bool)
-    last[np.cumsum([len(c) // 4 for c in chunks]) - 1] = True
+    last[ends - 1] = True
     symbols, last, rules = repair(ids, last, base)
     ends = (np.flatnonzero(last) + 1).astype(np.uint32)
     small = not len(symbols) or symbols.max() < 1 << 16
     return {"part": part, "shard": shard, "offset": offset, "n_ids": len(ids), "base": base, "keys": keys, "ends": ends.tobytes(), "rules": rules.tobytes(), "lengths": rule_lengths(rules, base).tobytes(), "symbols": symbols.astype("<u2" if small else "<u4").tobytes() + bytes([2 if small else 4])}
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20):
+    """Slices of a batch of (key, text) with about so many bytes of text, one row at least."""
+    sizes, at = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096]), most, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def write_ids(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Encode all texts, append end_id to each, and write the shards to path, keys ascending (null first)."""
     from loomwright.llm.bpe_automaton import vocabulary
@@ -189,21 +334,34 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", tex
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        encoder, part, end, arrow = byte_encoder(raw.value), TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), to_arrow_schema(SHARDS)
-        base, keys, chunks, size, shard, offset = max(encoder.size, end_id + 1), [], [], 0, 0, 0
+        encoder, part, arrow = byte_encoder(raw.value), TaskContext.get().partitionId(), to_arrow_schema(SHARDS)
+        base, keys, held, ends, size, shard, offset = max(encoder.size, end_id + 1), [], [], [], 0, 0, 0
+
+        def row():
+            return pa.RecordBatch.from_pylist([shard_row(part, shard, offset, keys, np.concatenate(held), np.concatenate(ends), base)], schema=arrow)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                for k, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    chunks.append(ids + end)
-                    size += len(ids) // 4 + 1
+            for some in slices(batch):
+                ids, counts = encoder.encode(some.column(1))
+                stops = np.cumsum(counts + 1)
+                full = np.full(int(stops[-1]), end_id, np.uint32)
+                own = np.ones(len(full), bool)
+                own[stops - 1] = False
+                full[own] = ids
+                done, names = 0, some.column(0).to_pylist()
+                while done < len(names):  # a shard ends with the document that fills it
+                    before = int(stops[done - 1]) if done else 0
+                    upto = min(int(np.searchsorted(stops, before + shard_ids - size)) + 1, len(names))
+                    keys += names[done:upto]
+                    held.append(full[before : int(stops[upto - 1])])
+                    ends.append(stops[done:upto] - before + size)
+                    size += len(held[-1])
+                    done = upto
                     if size >= shard_ids:
-                        yield pa.RecordBatch.from_pylist([shard_row(part, shard, offset, keys, chunks, base)], schema=arrow)
-                        keys, chunks, size, shard, offset = [], [], 0, shard + 1, offset + size
+                        yield row()
+                        keys, held, ends, size, shard, offset = [], [], [], 0, shard + 1, offset + size
         if keys:
-            yield pa.RecordBatch.from_pylist([shard_row(part, shard, offset, keys, chunks, base)], schema=arrow)
-        encoder.known, encoder.stems = {}, {}  # the worker process lives on
+            yield row()
 
     rows.mapInArrow(run, SHARDS).write.parquet(path)
 

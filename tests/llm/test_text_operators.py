@@ -212,3 +212,23 @@ def test_co_training_held_out_accuracy(spark, sf):
 def test_ids_hash_of_query(spark, docs):
     r = bpe_automaton.encode(docs.where("doc_id = 4"), WORD_BPE).select(F.sha2("ids", 256).alias("h"), "ids").first()
     assert r.h == hashlib.sha256(r.ids).hexdigest()
+
+
+@pytest.mark.parametrize("memo", [200, 600_000])
+def test_byte_encoder_against_library(monkeypatch, memo):
+    """Random texts over the characters at which pieces are cut, with a memo that is thrown away often and one that never is."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(repair_binary, "MEMO", memo)
+    monkeypatch.setattr(repair_binary, "BLOCK", 500)
+    draw = random.Random(3)
+    letters = " " * 6 + "\n\t\r'''ssmdtrevl" + "abcXYZ019.,!-_\x00\x1c" + "é×÷ßñΣя日😀\xa0​ ªº"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 2, 5, 20, 60]))) for _ in range(2000)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "", " ", "x" * 500 + " y", "'s", " 's", "it's John's we'll 'llx", "\n\n a"]
+    encoder, lib = repair_binary.ByteEncoder(open(BYTE_BPE, "rb").read()), Tokenizer.from_file(BYTE_BPE)
+    for some in (pa.array(texts), pa.array(texts)[700:900], pa.array([], pa.string())):
+        ids, counts = encoder.encode(some)
+        expected = [lib.encode(t, add_special_tokens=False).ids for t in some.to_pylist()]
+        assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
