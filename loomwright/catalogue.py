@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.cel.compiler import cel, duration_micros
-from loomwright.functions import geo, text
+from loomwright.functions import geo, jq, text
 from loomwright.functions.actions import Registry
 from loomwright.operators import paging, search
 from loomwright.operators.predicate import Edge, Relations
-from loomwright.plans import flow
+from loomwright.plans import flow, user
 from loomwright.plans.sqlservice import SqlService, expose
-from loomwright.sources import readers, writers
+from loomwright.sources import notify, readers, writers
 from loomwright.storage import shared_path
-from loomwright.streaming import streams
+from loomwright.streaming import schedule, streams
 from loomwright.types import valid_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,3 +638,44 @@ def udf_action(spark, sf_dir):
     r = Registry()
     r.add("Double Size", "twice a size of at least 10", {"type": "integer", "minimum": 10}, {"type": "integer"}, lambda c: c * 2)
     return read(spark, sf_dir, "part").select("p_partkey", r.try_call("actions/double-size", F.col("p_size"), F.lit(-1)).alias("doubled"))
+
+
+# jq, schedules, user actions, notifications
+
+
+@query("SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 50 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS k, '[\"k\"]' AS names, '\"none\"' AS other FROM events")
+def jq_query(spark, sf_dir):
+    p = F.col("props")
+    return read(spark, sf_dir, "events").select("event_id", jq.value(p, "select(.k > 50) | .k").alias("k"), jq.value(p, "keys").alias("names"), jq.value(p, '.missing // "none"').alias("other"))
+
+
+@query("""SELECT event_id, 21600000000 - (epoch_us(ts) - 1704067200000000) % 21600000000 AS often,
+    CASE WHEN epoch_us(ts) < 1704093300000000 THEN 1704093300000000 - epoch_us(ts) ELSE 172800000000 - (epoch_us(ts) - 1704093300000000) % 172800000000 END AS every_other_day FROM events""")
+def sync_schedule(spark, sf_dir):
+    """Microseconds until a source that was created on 2024-01-01 is due next: every 6 hours, and every other day at 07:15."""
+    ts, anchor = F.col("ts").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    wait = lambda *every: F.unix_micros(schedule.next_sync(ts, anchor, *every)) - F.unix_micros(ts)
+    return read(spark, sf_dir, "events").select("event_id", wait().alias("often"), wait(2880, "07:15").alias("every_other_day"))
+
+
+@query("""SELECT a.event_id, b.value AS approved, CASE WHEN b.event_id IS NULL THEN 'waiting' ELSE 'answered' END AS user_status
+    FROM events a LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON b.event_id = a.event_id + 1 WHERE a.event_type = 'signup'""")
+def user_action(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")
+    answers = events.where("event_type = 'click'").withColumn("event_id", F.col("event_id") - 1).select(user.prompt_id("approve", "event_id").alias("uid"), F.struct(F.col("value").alias("approved")).alias("values"), "ts")
+    return user.resolve(events.where("event_type = 'signup'"), answers, "approve", ["event_id"], "ts").select("event_id", F.col("user_values.approved").alias("approved"), "user_status")
+
+
+def refuse_debtors(rows):
+    return ["balance" if r["s_acctbal"] < 0 else None for r in rows]
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_acctbal >= 0 AS success, CASE WHEN s_acctbal < 0 THEN 'balance' END AS error FROM supplier")
+def notify_status(spark, sf_dir):
+    messages = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal", notify.render("Dear {{s_name}}").alias("subject"))
+    return notify.send(messages, refuse_debtors)
+
+
+@query("SELECT s_suppkey, 'Dear ' || s_name || ', no. ' || CAST(s_suppkey AS VARCHAR) || '!' AS body FROM supplier")
+def notify_template(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", notify.render("Dear {{ s_name }}, no. {{s_suppkey}}!").alias("body"))
