@@ -22,5 +22,6 @@ def next_sync(after: Column, anchor: Column, minutes: int = DEFAULT_MINUTES, tim
         raise ValueError(f"time of day {time!r}")
     start = F.unix_micros(F.date_trunc("day", anchor).cast("timestamp")) + at * 60_000_000 if minutes >= DAY else F.unix_micros(anchor.cast("timestamp"))
     step = minutes * 60_000_000
-    passed = F.floor((F.unix_micros(after.cast("timestamp")) - start) / F.lit(step)) + 1
-    return F.timestamp_micros((start + F.greatest(passed, F.lit(0)) * step).cast("long"))
+    since = F.unix_micros(after.cast("timestamp")) - start
+    due = F.when(since < 0, start).otherwise(start + since - F.pmod(since, F.lit(step)) + step)
+    return F.timestamp_micros(due)
