@@ -8,12 +8,17 @@ Similarity of two texts: m / (a + b - m), with a and b their numbers of shingles
 in the same order within a diagonal band (a banded alignment; labelled shingles occur once, so it is a longest increasing
 subsequence). Pairs at 0.8 or more are linked; classes are connected components.
 
-Work: equal texts collapse first (two 64-bit hashes and the length). A bucket links its members to one hub rather than to
-each other, so a bucket of m texts gives m - 1 pairs however large it is. While a bucket holds several classes it gets
-another hub from a class without one, ROUNDS in all. A pair that shares buckets is thus compared directly if one of the two
-is a hub in any of them, and otherwise through the hubs that both match; what that loses is measured in the README. Before
-texts are fetched, pairs must agree in length (exact) and in the sketches' minima (LIKELY, six standard deviations below
-what 0.8 gives).
+Texts of six shingles or fewer have lists of SHORT minima too (of four shingles or more): a partner with fewer than LENGTH
+shingles could share no longer list with them.
+
+Work: equal texts collapse first (two 64-bit hashes and the length). A bucket compares its members with hubs, at first
+with one, so a bucket of m texts of one class takes m - 1 pairs however large it is. While a bucket holds several classes, members
+outside its main class (the one with most members that were no hubs yet) become hubs, twice as many in each round, until all
+that are left belong to one class. Every pair of a bucket is then compared or already joined: no cap, and more pairs than
+members only where texts of a bucket differ. Before texts are fetched, pairs must agree in length and in their
+signatures (both exact, inside the join) and in the sketches' minima (LIKELY, six standard deviations below what 0.8 gives).
+A signature holds the parities of the numbers of shingles by BITS hash values (an odd sketch): each differing bit takes a
+shingle that only one text has, and at 0.8 or more at most (a + b) / 9 are such.
 
 Results by case: null texts have no class of others (each row is alone, ``class_id`` its own id); empty and wordless texts
 likewise; texts of under five words are one shingle; repeated rows and ties share a class, whose id is the smallest
@@ -34,10 +39,10 @@ from pyspark.sql import functions as F
 from loomwright.llm.base import WORD, stored
 
 K, SIMILAR = 5, 0.8
-BANDS, LENGTH = 32, 6
+BANDS, LENGTH, SHORT = 32, 6, 2
 LIKELY = 0.75
-#: Hubs that a bucket gets one after the other, while it holds several classes.
-ROUNDS = 3
+#: Bits of a text's signature.
+BITS = 512
 #: Matches may lie this share of the longer text off the diagonal, and at least BAND shingles.
 SLACK, BAND = 0.25, 64
 
@@ -100,8 +105,20 @@ SHIFTS = RNG.integers(0, MASK, BANDS, np.uint64, True)[:, None]
 ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(LENGTH)], np.uint64)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """BITS parities, as numbers of 64 bits."""
+    n = np.bincount((s >> np.uint64(65 - BITS.bit_length())).astype(np.int64), minlength=BITS)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
+def listed(h: np.ndarray, i: np.ndarray, first: int) -> np.ndarray:
+    """Bucket of each band, numbered from first: a hash of its minima h in the order of their places i."""
+    kept = np.take_along_axis(h, np.argsort(i, 1), 1)
+    return mixed((kept * ODD[: h.shape[1]]).sum(1) + np.arange(first, first + BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+
 def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each band, 8 bits of each of the minima, sorted within a band)."""
+    """(buckets, BANDS or twice as many; 8 bits of each of the minima, sorted within a band)."""
     take = min(LENGTH, len(s))
     step, parts_h, parts_i = 1 << 14, [], []
     for at in range(0, len(s), step):  # bounded memory for very long texts
@@ -116,11 +133,12 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if h.shape[1] > take:
         low = np.argpartition(h, take - 1, 1)[:, :take]
         h, i = np.take_along_axis(h, low, 1), np.take_along_axis(i, low, 1)
-    order = np.argsort(i, 1)  # text order
-    kept = np.take_along_axis(h, order, 1)
-    buckets = mixed((kept * ODD[:take]).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    buckets = listed(h, i, 0)
+    if 4 <= len(s) <= LENGTH:
+        low = np.argsort(h, 1)[:, :SHORT]
+        buckets = np.concatenate((buckets, listed(np.take_along_axis(h, low, 1), np.take_along_axis(i, low, 1), BANDS)))
     minima = np.full((BANDS, LENGTH), 0xFF, np.uint8)
-    minima[:, :take] = np.sort((kept >> np.uint64(20)).astype(np.uint8), 1)
+    minima[:, :take] = np.sort((h >> np.uint64(20)).astype(np.uint8), 1)
     return buckets, minima
 
 
@@ -153,7 +171,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return m / (len(a) + len(b) - m)
 
 
-SKETCH = "doc_id long, digest long, n_chars long, n long, buckets array<long>, minima binary"
+SKETCH = "doc_id long, digest long, n_chars long, n long, buckets array<long>, minima binary, bits array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -166,12 +184,12 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
                 s = shingler.shingles(text or "")
-                row = [ids[i].as_py(), xxhash.xxh64_intdigest(text or "", 3) - (1 << 63), len(text or ""), len(s), [], b""]
+                row = [ids[i].as_py(), xxhash.xxh64_intdigest(text or "", 3) - (1 << 63), len(text or ""), len(s), [], b"", []]
                 if len(s):
                     b, m = sketch(s)
-                    row[4], row[5] = b.astype(np.int64), m.tobytes()
+                    row[4:] = b.astype(np.int64), m.tobytes(), signature(s)
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["doc_id", "digest", "n_chars", "n", "buckets", "minima"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())))], names=["doc_id", "digest", "n_chars", "n", "buckets", "minima", "bits"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -241,19 +259,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     drawn = stored(sketches(base), "sketches")
     same = ["digest", "n_chars", "h"]
     keyed = drawn.withColumn("h", F.xxhash64("buckets", "n"))
-    texts = keyed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima"))
+    texts = keyed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima"), F.first("bits").alias("bits"))
     texts = stored(texts, "texts")
     minima = lambda c, out: texts.select(F.col("rep").alias(c), F.col("minima").alias(out))
-    members = texts.select(F.explode("buckets").alias("bucket"), "rep", "n")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1").drop("c")
+    members = texts.select(F.explode("buckets").alias("bucket"), "rep", "n").distinct()
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = stored(members.join(shared, "bucket"), "members")
-    hubs = members.where("rep = hub").select("bucket", "rep", F.col("rep").alias("root")).distinct()
-    members = members.drop("hub")
-    links, roots = stored(hubs.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b")), "links"), None
-    state, used, compared = members.withColumn("root", F.col("rep")), hubs, None
-    for turn in range(ROUNDS):
-        h = hubs.select("bucket", F.col("rep").alias("y"), F.col("root").alias("ry")).join(members.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny")), ["bucket", "y"])
-        pairs = state.join(h, "bucket").where(f"root <> ry AND n >= {SIMILAR} * ny AND ny >= {SIMILAR} * n")
+    # A text amid near copies shares more buckets with them than they do with each other: it is their best hub.
+    weight = members.groupBy("rep").agg(F.sum("c").alias("weight"))
+    best = F.max(F.struct("weight", (-F.col("rep")).alias("minus")))["minus"]
+    # done: the member is a hub, or was one; the pairs of a round are those of its new hubs
+    weight = weight.join(texts.select("rep", "bits"), "rep")
+    state = stored(members.drop("c").join(weight, "rep").select("bucket", "rep", "n", "bits", "weight", F.col("rep").alias("root"), F.lit(False).alias("done")), "state")
+    hubs = stored(state.groupBy("bucket").agg((-best).alias("rep")), "hubs")
+    # (a + b) * (1 - SIMILAR) / (1 + SIMILAR) shingles at most are in one text only
+    differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("other")[0])))
+    links = roots = compared = None
+    turn = 0
+    while True:
+        h = state.join(hubs, ["bucket", "rep"], "left_semi").select("bucket", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("bits").alias("other"))
+        pairs = state.join(h, "bucket").where(f"root <> ry AND n >= {SIMILAR} * ny AND ny >= {SIMILAR} * n").where(differing * (1 + SIMILAR) <= (F.col("n") + F.col("ny")) * (1 - SIMILAR) + 1e-6)
         pairs = pairs.select(F.greatest("rep", "y").alias("a"), F.least("rep", "y").alias("b")).distinct()
         pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.union(pairs)
@@ -262,20 +287,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             ids = probable.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             wanted = stored(base.join(ids, "doc_id", "left_semi"), "wanted")
             full = probable.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            links = stored(links.union(verified(full).distinct()), "links")
-            roots = components(links)
-            state = stored(members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "state")
-        if turn + 1 == ROUNDS:
-            break
-        # Next: a member of a class that no hub of the bucket has stood for, where a bucket holds several classes.
-        marked = state.join(used.select("bucket", "rep", F.lit(1).alias("hub")), ["bucket", "rep"], "left")
-        classes = marked.groupBy("bucket", "root").agg(F.min("rep").alias("rep"), F.max("hub").alias("hub"))
-        several = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.count("hub").alias("served")).where("k > 1 AND served < k")
-        rest = classes.where("hub IS NULL").join(several, "bucket", "left_semi")
-        hubs = stored(rest.groupBy("bucket").agg(F.min("rep").alias("rep"), F.min_by("root", "rep").alias("root")), "hubs")
-        if hubs.isEmpty():
+            found = stored(verified(full).distinct(), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                roots = components(found if roots is None else found.union(roots.select("id", "root")))
+                state = state.drop("root").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        state = state.join(hubs.withColumn("new", F.lit(True)), ["bucket", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("new", F.lit(False))).drop("new")
+        # Next: buckets of several classes in which more than one has members that were no hubs yet.
+        classes = state.groupBy("bucket", "root").agg(F.count_if(~F.col("done")).alias("rest"))
+        main = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("rest").alias("all"), F.max(F.struct("rest", "root")).alias("main"))
+        unsettled = stored(main.where("k > 1 AND all > main.rest").select("bucket", F.col("main.root").alias("main")), "unsettled")
+        if unsettled.isEmpty():
             break
-        used = used.union(hubs)
+        state = stored(state.join(unsettled, "bucket"), "state")
+        share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << turn))
+        hubs = stored(state.where("NOT done AND root <> main").groupBy("bucket", share.alias("share")).agg((-best).alias("rep")).select("bucket", "rep"), "hubs")
+        state = state.drop("main")
+        turn += 1
     out = keyed.join(texts.select(*same, "rep"), same, "left")
     if roots is not None:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

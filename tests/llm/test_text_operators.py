@@ -182,6 +182,50 @@ def test_near_duplicates_against_brute_force(spark):
     assert {i: got[i].class_id for i in got} == {i: find(i) for i, _ in rows}
 
 
+def brute_classes(rows):
+    texts = [(i, order_minhash.Shingler().shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for k, (i, a) in enumerate(texts):
+        for j, b in texts[k + 1 :]:
+            if order_minhash.similarity(a, b) >= order_minhash.SIMILAR - 1e-12:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i, _ in rows}
+
+
+def test_near_duplicates_of_short_texts(spark):
+    """Partners of 4 to 12 shingles whose numbers differ by one or two."""
+    rows = []
+    for k in range(60):
+        words = [f"v{k}x{i}" for i in range(8 + k % 9)]
+        rows += [(4 * k + j, " ".join(words[: len(words) - j])) for j in range(3)]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
+
+
+def test_near_duplicates_of_many_classes_in_a_bucket(spark):
+    """Texts around 0.8 of each other share buckets, but no hub stands for all of their links."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(150):
+        t = list(base)
+        for i in rng.choice(150, 2 + k % 3, replace=False):
+            t[i] = f"e{k}x{i}"
+        rows.append((k, " ".join(t)))
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 2000):
+        s = rng.integers(0, 1 << 63, n, np.uint64)
+        t = np.concatenate((s[: n // 2], rng.integers(0, 1 << 63, 9, np.uint64)))
+        bits = sum(int(x).bit_count() for x in (order_minhash.signature(s) ^ order_minhash.signature(t)).view(np.uint64))
+        assert bits <= len(np.setxor1d(s, t))
+
+
 def test_alignment_needs_order():
     a = order_minhash.Shingler().shingles(" ".join(f"a{i}" for i in range(100)))
     assert order_minhash.similarity(a, a) == 1 and order_minhash.similarity(a, a[::-1].copy()) < order_minhash.SIMILAR
