@@ -13,7 +13,7 @@ shingles could share no longer list with them.
 
 Work: equal texts collapse first (two 64-bit hashes and the length). A bucket compares its members with hubs, at first
 with one, so a bucket of m texts of one class takes m - 1 pairs however large it is. While a bucket holds several classes, members
-outside its main class (the one with most members that were no hubs yet) become hubs, twice as many in each round, until all
+outside its main class (the one with most members that were no hubs yet) become hubs, four times as many in each round, until all
 that are left belong to one class. Every pair of a bucket is then compared or already joined: no cap, and more pairs than
 members only where texts of a bucket differ. Before texts are fetched, pairs must agree in length and in their
 signatures (both exact, inside the join) and in the sketches' minima (LIKELY, six standard deviations below what 0.8 gives).
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if unsettled.isEmpty():
             break
         state = stored(state.join(unsettled, "bucket"), "state")
-        share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << turn))
+        share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 2 * turn))
         hubs = stored(state.where("NOT done AND root <> main").groupBy("bucket", share.alias("share")).agg((-best).alias("rep")).select("bucket", "rep"), "hubs")
         state = state.drop("main")
         turn += 1
