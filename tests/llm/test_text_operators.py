@@ -157,6 +157,41 @@ def test_line_dedup_removes_later_copies(spark):
             assert all(line in it for line in r.text.split("\n")) or r.text == ""
 
 
+def brute_line_dedup(rows, most=50):
+    """Texts by row, of distinct ids in order: lines of windows of over most words that an earlier place holds go."""
+    seen, out = {}, []
+    for i, (_, t) in enumerate(rows):
+        lines = t.split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if lines[a].split() and lines[b - 1].split() and sum(len(x.split()) for x in lines[a:b]) > most:
+                    doc, at = seen.setdefault("\n".join(lines[a:b]), (i, a))
+                    if (doc, at) != (i, a):
+                        gone.update(range(max(a, at + b - a) if doc == i else a, b))
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("most", [line_chunks.BROADCAST, -1])
+def test_line_dedup_of_short_passages(spark, monkeypatch, most):
+    """Passages of over 50 words in one to six lines, amid other lines or alone, with blank lines and overlapping copies."""
+    monkeypatch.setattr(line_chunks, "BROADCAST", most)
+    monkeypatch.setattr(line_chunks, "LEAST_WORDS", 1 << 20)  # leaves the chunks that are cut by words
+    rng = np.random.default_rng(7)
+    new = lambda n: " ".join(f"n{x}" for x in rng.integers(0, 1 << 40, n))
+    passages = [[new(60 // n + 1) for _ in range(n)] for n in (1, 1, 2, 2, 3, 4, 5, 6)] + [[new(70), "", "", new(70), new(3)], [new(2), new(80)], [new(80), new(2), new(2)], ["one and the same line of ten words in all"] * 9]
+    rows = []
+    for k in range(60):
+        parts = [[new(rng.integers(1, 30)) for _ in range(rng.integers(0, 4))] for _ in range(3)]
+        p, q = (passages[i] for i in rng.integers(0, len(passages), 2))
+        rows.append((k, "\n".join([*parts[0], *p, *parts[1], *(q[:-1] if k % 5 == 0 else q), *parts[2]])))
+    got = {r.doc_id: r for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (k, t), want in zip(rows, brute_line_dedup(rows), strict=True):
+        assert got[k].text == want, k
+        assert got[k].n_removed_lines == len(t.split("\n")) - (len(want.split("\n")) if want else 0)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(400)]
