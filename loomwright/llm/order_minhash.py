@@ -16,7 +16,7 @@ with one, so a bucket of m texts of one class takes m - 1 pairs however large it
 outside its main class (the one with most members that were no hubs yet) become hubs, four times as many in each round, until all
 that are left belong to one class. Every pair of a bucket is then compared or already joined: no cap, and more pairs than
 members only where texts of a bucket differ. Before texts are fetched, pairs must agree in length and in their
-signatures (both exact, inside the join) and in the sketches' minima (LIKELY, six standard deviations below what 0.8 gives).
+signatures (both exact, inside the join). All that do are compared by their texts.
 A signature holds the parities of the numbers of shingles by BITS hash values (an odd sketch): each differing bit takes a
 shingle that only one text has, and at 0.8 or more at most (a + b) / 9 are such.
 
@@ -40,7 +40,6 @@ from loomwright.llm.base import WORD, stored
 
 K, SIMILAR = 5, 0.8
 BANDS, LENGTH, SHORT = 32, 6, 2
-LIKELY = 0.75
 #: Bits of a text's signature.
 BITS = 512
 #: Matches may lie this share of the longer text off the diagonal, and at least BAND shingles.
@@ -117,8 +116,8 @@ def listed(h: np.ndarray, i: np.ndarray, first: int) -> np.ndarray:
     return mixed((kept * ODD[: h.shape[1]]).sum(1) + np.arange(first, first + BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
-def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, BANDS or twice as many; 8 bits of each of the minima, sorted within a band)."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Buckets, BANDS or twice as many."""
     take = min(LENGTH, len(s))
     step, parts_h, parts_i = 1 << 14, [], []
     for at in range(0, len(s), step):  # bounded memory for very long texts
@@ -137,15 +136,7 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if 4 <= len(s) <= LENGTH:
         low = np.argsort(h, 1)[:, :SHORT]
         buckets = np.concatenate((buckets, listed(np.take_along_axis(h, low, 1), np.take_along_axis(i, low, 1), BANDS)))
-    minima = np.full((BANDS, LENGTH), 0xFF, np.uint8)
-    minima[:, :take] = np.sort((h >> np.uint64(20)).astype(np.uint8), 1)
-    return buckets, minima
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of minima that two sketches have in common, for rows of sketches."""
-    a, b = a.reshape(-1, BANDS, LENGTH, 1), b.reshape(-1, BANDS, 1, LENGTH)
-    return (a == b).any(3).mean((1, 2))
+    return buckets
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -171,7 +162,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return m / (len(a) + len(b) - m)
 
 
-SKETCH = "doc_id long, digest long, n_chars long, n long, buckets array<long>, minima binary, bits array<long>"
+SKETCH = "doc_id long, digest long, n_chars long, n long, buckets array<long>, bits array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -184,34 +175,15 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
                 s = shingler.shingles(text or "")
-                row = [ids[i].as_py(), xxhash.xxh64_intdigest(text or "", 3) - (1 << 63), len(text or ""), len(s), [], b"", []]
+                row = [ids[i].as_py(), xxhash.xxh64_intdigest(text or "", 3) - (1 << 63), len(text or ""), len(s), [], []]
                 if len(s):
-                    b, m = sketch(s)
-                    row[4:] = b.astype(np.int64), m.tobytes(), signature(s)
+                    row[4:] = sketch(s).astype(np.int64), signature(s)
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())))], names=["doc_id", "digest", "n_chars", "n", "buckets", "minima", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "digest", "n_chars", "n", "buckets", "bits"])
 
     return docs.mapInArrow(run, SKETCH)
 
 
-def likely(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches agree enough; columns a, b, ma, mb."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ok = np.empty(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8) for c in (2, 3))
-                ok[at : at + 2048] = likeness(left, right) >= LIKELY
-            kept = batch.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    return pairs.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
-
-
 def verified(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) with texts ta, tb at SIMILAR or more."""
 
@@ -259,9 +231,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     drawn = stored(sketches(base), "sketches")
     same = ["digest", "n_chars", "h"]
     keyed = drawn.withColumn("h", F.xxhash64("buckets", "n"))
-    texts = keyed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima"), F.first("bits").alias("bits"))
+    texts = keyed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("bits").alias("bits"))
     texts = stored(texts, "texts")
-    minima = lambda c, out: texts.select(F.col("rep").alias(c), F.col("minima").alias(out))
     members = texts.select(F.explode("buckets").alias("bucket"), "rep", "n").distinct()
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = stored(members.join(shared, "bucket"), "members")
@@ -282,11 +253,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         pairs = pairs.select(F.greatest("rep", "y").alias("a"), F.least("rep", "y").alias("b")).distinct()
         pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.union(pairs)
-        probable = stored(likely(pairs.join(minima("a", "ma"), "a").join(minima("b", "mb"), "b")).distinct(), "likely")
-        if not probable.isEmpty():
-            ids = probable.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if not pairs.isEmpty():
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             wanted = stored(base.join(ids, "doc_id", "left_semi"), "wanted")
-            full = probable.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+            full = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             found = stored(verified(full).distinct(), "links")
             if not found.isEmpty():
                 links = found if links is None else links.union(found)

@@ -239,6 +239,16 @@ def test_near_duplicates_of_short_texts(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_of_cut_copies(spark):
+    """Copies that are cut short to exactly 0.8, whose sketches agree least often of all such pairs."""
+    rows = []
+    for k in range(400):
+        words = [f"c{k}x{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:84]))]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in got.collect() if r.class_id != r.doc_id // 2 * 2] == []
+
+
 def test_near_duplicates_of_many_classes_in_a_bucket(spark):
     """Texts around 0.8 of each other share buckets, but no hub stands for all of their links."""
     rng = np.random.default_rng(11)
