@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe_automaton, line_chunks, mixing, order_minhash, quality_rules
-from loomwright.llm.base import shared_dir, table
+from loomwright.llm.base import WORD, shared_dir, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,7 +33,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class stays; of rows with one id and text, one."""
+    """The document with the least id of each class stays; of rows with one text, one, ids before null ids.
+
+    Texts without words have no class: of such rows with one id and text one stays, and all without an id.
+    """
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "lang", "source")).alias("o")
+    kept = ["o.doc_id", "text", "o.lang", "o.source"]
+    once = docs.where(worded).groupBy("text").agg(row).select(*kept)
+    bare = docs.where(~worded & F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(row).select(*kept)
+    docs = stored(once.union(bare).union(docs.where(~worded & F.col("doc_id").isNull()).select("doc_id", "text", "lang", "source")), "once")
     classes = order_minhash.near_duplicates(docs)
     gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
     return _columns(docs.join(gone, "doc_id", "left_anti"))

@@ -41,3 +41,13 @@ def test_pipeline(spark, sf):
     assert texts.count() == texts.distinct().count()
     assert {r.doc_id for r in mixture.select("doc_id").collect()} <= {r.doc_id for r in near.select("doc_id").collect()}
     assert encoded.count() == mixture.count() and encoded.where("n_tokens IS NULL").count() == 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(2, text), (2, text), (1, text), (None, text), (None, "by itself"), (None, "by itself"), (3, "alone"), (3, "alone"), (3, "other"), (4, ""), (4, ""), (5, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, text), (None, "by itself"), (3, "alone"), (3, "other"), (4, ""), (5, None), (None, None)], key=str)
