@@ -3,8 +3,8 @@
 Two views of a document: its words and word shapes (text), and its source, language and length (metadata). Each has a
 logistic model over hashed features. In every round both models are fitted; each then labels the unlabelled pool, and its
 most confident labels join the other's training set. At the end both views are calibrated (Platt) and combined by a
-logistic model of the two log-odds on a calibration fold, and the cutoff keeps all but FALSE_REJECTION of the good documents
-of a third fold.
+logistic model of the two log-odds on a calibration fold, and the cutoff keeps all but FALSE_REJECTION of all good documents
+that were neither trained nor calibrated on, however many: they are scored with the model, and their scores counted in bins.
 
 The labelled rows and the pool are bounded samples by hash (LABELLED, POOL: documented parameters); every document is
 scored, in whole. Weights are broadcast: their size is fixed (2 * DIM numbers).
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.base import stored
+
 DIM = 1 << 15
 LABELLED, POOL, ROUNDS, GROW, CONFIDENT = 4000, 4000, 4, 400, 0.95
 FALSE_REJECTION = 0.002
@@ -148,15 +150,54 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     fold = np.array([(0, 0, 0, 1, 2)[h(str(r["id"]), 4) % 5] for r in got])
     if not got:
-        return co_train((), (), np.zeros(0, int), fold)
+        return co_train((), (), np.zeros(0, int), fold) | {"used": []}
     counts = [np.frombuffer(r["counts"], np.float32) for r in got]
     text_view = sparse([np.frombuffer(r["text"], np.int32) for r in got], [2 * c / max(1, c.sum()) for c in counts])
-    return co_train(text_view, sparse([np.frombuffer(r["meta"], np.int32) for r in got]), np.array([r["y"] for r in got]), fold)
+    y = np.array([r["y"] for r in got])
+    used = sorted({r["id"] for r, ok in zip(got, (y >= 0) & (fold < 2), strict=True) if ok})
+    return co_train(text_view, sparse([np.frombuffer(r["meta"], np.int32) for r in got]), y, fold) | {"used": used}
+
+
+BINS = 1 << 12
+
+
+def low_quantile(values: DataFrame, share: float) -> float | None:
+    """The share quantile (method lower) of column score, within 0 and 1, to 2^-48; each round looks into one of BINS bins."""
+    values = stored(values.select("score"), "scores")
+    n = values.count()
+    if not n:
+        return None
+    rank, low, width = math.floor(share * (n - 1)), 0.0, 1.0
+    for _ in range(4):
+        width /= BINS
+        within = F.least(F.floor((F.col("score") - low) / width), F.lit(BINS - 1)).alias("bin")
+        for r in sorted(values.groupBy(within).agg(F.count("*").alias("c")).collect()):
+            if rank < r.c:
+                break
+            rank -= r.c
+        values, low = values.where(within == r.bin), low + r.bin * width
+    return values.agg(F.min("score")).first()[0]
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
     """``doc_id, p_text, p_meta, score, kept`` for every row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, source, lang, n_chars))
+    names = (key, text, source, lang, n_chars)
+    model = train(docs, labels, *names)
+    used = model.pop("used")
+    if used:
+        good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y")).where("y = 1")
+        # at most LABELLED ids
+        good = good.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in used], "id long")), "id", "left_anti")
+        known = docs.join(good, F.col(f"`{key}`").cast("long") == good["id"], "left_semi")
+        cutoff = low_quantile(scored(known, model, *names), FALSE_REJECTION)
+        if cutoff is not None:
+            model["cutoff"] = min(0.5, cutoff)
+    return scored(docs, model, *names)
+
+
+def scored(docs: DataFrame, model: dict, key: str, text: str, source: str, lang: str, n_chars: str) -> DataFrame:
+    """The columns of classify for every row of docs, by a model of train."""
+    model = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"), F.col(f"`{source}`").cast("string"), F.col(f"`{lang}`").cast("string"), F.col(f"`{n_chars}`").cast("long"))
 
     def run(batches):

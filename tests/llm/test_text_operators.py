@@ -298,6 +298,20 @@ def test_co_training_held_out_accuracy(spark, sf):
     assert {r.score for r in cotraining.classify(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_cutoff_is_set_on_all_labels(spark, sf, monkeypatch):
+    """With a training sample of 200 labels, all other good documents still set the cutoff."""
+    values = np.random.default_rng(4).random(3000) ** 3
+    frame = spark.createDataFrame([(float(v),) for v in values], "score double")
+    assert cotraining.low_quantile(frame, 0.03) == pytest.approx(np.quantile(values, 0.03, method="lower"), abs=1e-12)
+    monkeypatch.setattr(cotraining, "LABELLED", 200)
+    seen = []
+    monkeypatch.setattr(cotraining, "low_quantile", lambda v, share: seen.append(v.count()) or 0.25)
+    docs, labels = (spark.read.parquet(sf.replace("0.001", "0.01") + f"/{t}.parquet") for t in ("documents", "labels"))
+    got = cotraining.classify(docs, labels).select("score", "kept").collect()
+    good = labels.where("quality = 1").join(docs, "doc_id").count()
+    assert good - 200 <= seen[0] < good and {r.kept for r in got if r.score < 0.25} <= {False}
+
+
 def test_ids_hash_of_query(spark, docs):
     r = bpe_automaton.encode(docs.where("doc_id = 4"), WORD_BPE).select(F.sha2("ids", 256).alias("h"), "ids").first()
     assert r.h == hashlib.sha256(r.ids).hexdigest()
