@@ -8,15 +8,16 @@ Similarity of two texts: m / (a + b - m), with a and b their numbers of shingles
 in the same order within a diagonal band (a banded alignment; labelled shingles occur once, so it is a longest increasing
 subsequence). Pairs at 0.8 or more are linked; classes are connected components.
 
-Texts of six shingles or fewer have lists of SHORT minima too (of four shingles or more): a partner with fewer than LENGTH
-shingles could share no longer list with them.
-
-Work: equal texts collapse first (two 64-bit hashes and the length). A bucket compares its members with hubs, at first
-with one, so a bucket of m texts of one class takes m - 1 pairs however large it is. While a bucket holds several classes, members
-outside its main class (the one with most members that were no hubs yet) become hubs, four times as many in each round, until all
-that are left belong to one class. Every pair of a bucket is then compared or already joined: no cap, and more pairs than
-members only where texts of a bucket differ. Before texts are fetched, pairs must agree in length and in their
-signatures (both exact, inside the join). All that do are compared by their texts.
+Texts of few shingles (SHORT + 2 to FEW) have lists of SHORT minima too: their lists of LENGTH would rarely agree at 0.8.
+
+Work: equal texts collapse first (two 64-bit hashes and the length). A bucket compares its members with one hub, the text
+that shares most, so a bucket of m texts of one class takes m - 1 pairs however large it is. Buckets that then hold several
+classes are split: their texts meet again by the shingles of their prefixes (see ``prefixes``), which any two texts at 0.8
+or more share, and which leave out what many texts have in common. There, members outside the main class (the one with
+most members that were no hubs yet) become hubs, GROWTH times as many in each round, until all that are left belong to one
+class. Every pair of open texts that can be linked is thus compared or already joined: no cap, and no row for two texts
+that share only a passage or a line that others hold as well. Before texts are fetched, pairs must agree in length and in
+their signatures (both exact, inside the join). All that do are compared by their texts.
 A signature holds the parities of the numbers of shingles by BITS hash values (an odd sketch): each differing bit takes a
 shingle that only one text has, and at 0.8 or more at most (a + b) / 9 are such.
 
@@ -39,9 +40,11 @@ from pyspark.sql import functions as F
 from loomwright.llm.base import WORD, stored
 
 K, SIMILAR = 5, 0.8
-BANDS, LENGTH, SHORT = 32, 6, 2
+BANDS, LENGTH, SHORT, FEW = 32, 6, 2, 16
 #: Bits of a text's signature.
 BITS = 512
+#: Hubs of a prefix's shingle grow so many times in each round.
+GROWTH = 256
 #: Matches may lie this share of the longer text off the diagonal, and at least BAND shingles.
 SLACK, BAND = 0.25, 64
 
@@ -133,8 +136,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
         low = np.argpartition(h, take - 1, 1)[:, :take]
         h, i = np.take_along_axis(h, low, 1), np.take_along_axis(i, low, 1)
     buckets = listed(h, i, 0)
-    if 4 <= len(s) <= LENGTH:
-        low = np.argsort(h, 1)[:, :SHORT]
+    if SHORT + 2 <= len(s) <= FEW:
+        low = np.argpartition(h, SHORT - 1, 1)[:, :SHORT]
         buckets = np.concatenate((buckets, listed(np.take_along_axis(h, low, 1), np.take_along_axis(i, low, 1), BANDS)))
     return buckets
 
@@ -225,6 +228,96 @@ def components(links: DataFrame) -> DataFrame:
         before = after
 
 
+def opened(texts: DataFrame) -> DataFrame:
+    """(rep, text) rows with their shingles: ``rep, id`` (of the text), ``text, s``."""
+
+    def run(batches):
+        import xxhash
+
+        shingler = Shingler()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                bodies = part.column(1).to_pylist()
+                ids = pa.array([xxhash.xxh64_intdigest(t, 5) - (1 << 63) for t in bodies], pa.int64())
+                grams = pa.array([shingler.shingles(t).astype(np.int64) for t in bodies], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, part.column(1), grams], names=["rep", "id", "text", "s"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, id long, text string, s array<long>")
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """``bucket, rep``: the shingles of each opened text's prefix, without those that no other text holds.
+
+    In one order of all shingles, two texts at SIMILAR or more share one of the first a - ceil(SIMILAR * a) + 1 of theirs:
+    else all that they share would lie in the rest of one of them, which is less than the SIMILAR * a that they must share.
+    Rare shingles come first, so texts that share what many others hold, and nothing else, do not meet.
+    """
+    grams = texts.select("rep", "id", F.size("s").alias("a"), F.explode("s").alias("bucket"))
+    often = stored(grams.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    held = grams.join(often, "bucket").groupBy("rep", "id", "a").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("l"))
+    # shingles that no other text holds are the first of a prefix
+    most = F.col("a") - F.ceil(F.col("a") * F.lit(SIMILAR) - 1e-9) + 1 - (F.col("a") - F.size("l"))
+    return held.where(most > 0).select("rep", F.explode(F.slice("l", F.lit(1), most.cast("int")))).select("col.bucket", "rep").distinct()
+
+
+class Classes:
+    """Links found so far, the classes that they make, and what was compared."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts, self.links, self.roots, self.compared = texts, None, None, None
+
+    def rooted(self, state: DataFrame) -> DataFrame:
+        """state with the ``root`` of each member's class."""
+        if self.roots is None:
+            return state.withColumn("root", F.col("rep"))
+        return state.drop("root").join(self.roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+    def compare(self, state: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Compare each bucket's members with its hubs; state with the new classes, and its hubs done."""
+        h = state.join(hubs, ["bucket", "rep"], "left_semi").select("bucket", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("bits").alias("other"))
+        # (a + b) * (1 - SIMILAR) / (1 + SIMILAR) shingles at most are in one text only
+        differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("other")[0])))
+        pairs = state.join(h, "bucket").where(f"root <> ry AND n >= {SIMILAR} * ny AND ny >= {SIMILAR} * n").where(differing * (1 + SIMILAR) <= (F.col("n") + F.col("ny")) * (1 - SIMILAR) + 1e-6)
+        pairs = pairs.select(F.greatest("rep", "y").alias("a"), F.least("rep", "y").alias("b")).distinct()
+        pairs = stored(pairs if self.compared is None else pairs.join(self.compared, ["a", "b"], "left_anti"), "pairs")
+        self.compared = pairs if self.compared is None else self.compared.union(pairs)
+        state = state.join(hubs.withColumn("new", F.lit(True)), ["bucket", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("new", F.lit(False))).drop("new")
+        if pairs.isEmpty():
+            return state
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = stored(self.texts.join(ids, "rep", "left_semi"), "wanted")
+        full = pairs.join(wanted.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+        found = stored(verified(full).distinct(), "links")
+        if found.isEmpty():
+            return state
+        self.links = found if self.links is None else self.links.union(found)
+        if self.roots is None:
+            self.roots = components(found)
+            return self.rooted(state)
+        # only the classes that the links join are gone through again
+        ends = found
+        for end in "ab":
+            ends = ends.join(self.roots.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        joined = components(ends.select("a", "b"))
+        moved = self.roots.join(joined.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left")
+        self.roots = stored(moved.select("id", F.coalesce("to", "root").alias("root")).union(joined), "roots")
+        return self.rooted(state)
+
+
+def unsettled(state: DataFrame) -> DataFrame:
+    """``bucket, main``: buckets of several classes, more than one with members that were no hubs, and the one with most such."""
+    classes = state.groupBy("bucket", "root").agg(F.count_if(~F.col("done")).alias("rest"))
+    main = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("rest").alias("all"), F.max(F.struct("rest", "root")).alias("main"))
+    return main.where("k > 1 AND all > main.rest").select("bucket", F.col("main.root").alias("main"))
+
+
+def best(state: DataFrame, *by: str) -> DataFrame:
+    """``bucket, rep``: of each group, the member of most weight, or the least of these."""
+    rep = -F.max(F.struct("weight", (-F.col("rep")).alias("minus")))["minus"]
+    return stored(state.groupBy(*by).agg(rep.alias("rep")).select("bucket", "rep"), "hubs")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: ``doc_id``, ``class_id`` (least doc_id of its class) and ``n_links`` (verified links of its text)."""
     base = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -237,47 +330,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = stored(members.join(shared, "bucket"), "members")
     # A text amid near copies shares more buckets with them than they do with each other: it is their best hub.
-    weight = members.groupBy("rep").agg(F.sum("c").alias("weight"))
-    best = F.max(F.struct("weight", (-F.col("rep")).alias("minus")))["minus"]
-    # done: the member is a hub, or was one; the pairs of a round are those of its new hubs
-    weight = weight.join(texts.select("rep", "bits"), "rep")
-    state = stored(members.drop("c").join(weight, "rep").select("bucket", "rep", "n", "bits", "weight", F.col("rep").alias("root"), F.lit(False).alias("done")), "state")
-    hubs = stored(state.groupBy("bucket").agg((-best).alias("rep")), "hubs")
-    # (a + b) * (1 - SIMILAR) / (1 + SIMILAR) shingles at most are in one text only
-    differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("other")[0])))
-    links = roots = compared = None
-    turn = 0
-    while True:
-        h = state.join(hubs, ["bucket", "rep"], "left_semi").select("bucket", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("bits").alias("other"))
-        pairs = state.join(h, "bucket").where(f"root <> ry AND n >= {SIMILAR} * ny AND ny >= {SIMILAR} * n").where(differing * (1 + SIMILAR) <= (F.col("n") + F.col("ny")) * (1 - SIMILAR) + 1e-6)
-        pairs = pairs.select(F.greatest("rep", "y").alias("a"), F.least("rep", "y").alias("b")).distinct()
-        pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        if not pairs.isEmpty():
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            wanted = stored(base.join(ids, "doc_id", "left_semi"), "wanted")
-            full = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            found = stored(verified(full).distinct(), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                roots = components(found if roots is None else found.union(roots.select("id", "root")))
-                state = state.drop("root").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        state = state.join(hubs.withColumn("new", F.lit(True)), ["bucket", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("new", F.lit(False))).drop("new")
-        # Next: buckets of several classes in which more than one has members that were no hubs yet.
-        classes = state.groupBy("bucket", "root").agg(F.count_if(~F.col("done")).alias("rest"))
-        main = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("rest").alias("all"), F.max(F.struct("rest", "root")).alias("main"))
-        unsettled = stored(main.where("k > 1 AND all > main.rest").select("bucket", F.col("main.root").alias("main")), "unsettled")
-        if unsettled.isEmpty():
-            break
-        state = stored(state.join(unsettled, "bucket"), "state")
-        share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 2 * turn))
-        hubs = stored(state.where("NOT done AND root <> main").groupBy("bucket", share.alias("share")).agg((-best).alias("rep")).select("bucket", "rep"), "hubs")
-        state = state.drop("main")
-        turn += 1
+    about = members.groupBy("rep").agg(F.sum("c").alias("weight")).join(texts.select("rep", "bits"), "rep")
+    state = stored(members.drop("c").join(about, "rep").withColumns({"root": F.col("rep"), "done": F.lit(False)}), "state")
+    classes = Classes(base.withColumnRenamed("doc_id", "rep"))
+    state = stored(classes.compare(state, best(state, "bucket")), "state")
+    open_ = stored(unsettled(state), "unsettled")
+    if not open_.isEmpty():
+        # Texts of these buckets meet again by their prefixes
+        reps = stored(state.join(open_, "bucket").groupBy("rep").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("weight").alias("weight")), "reps")
+        classes.texts = stored(opened(classes.texts.join(reps, "rep", "left_semi").distinct()), "opened")
+        groups = stored(prefixes(classes.texts), "prefixes")
+        classes.texts = classes.texts.select("rep", "text")
+        shared = groups.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+        state = stored(classes.rooted(groups.join(shared, "bucket").join(reps, "rep").withColumn("done", F.lit(False))), "state")
+        turn = 1
+        while True:
+            open_ = stored(unsettled(state), "unsettled")
+            if open_.isEmpty():
+                break
+            state = stored(state.join(open_, "bucket"), "state")
+            share = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(GROWTH**turn))
+            hubs = best(state.where("NOT done AND root <> main").withColumn("share", share), "bucket", "share")
+            state = classes.compare(state.drop("main"), hubs)
+            turn += 1
     out = keyed.join(texts.select(*same, "rep"), same, "left")
-    if roots is not None:
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        out = out.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    if classes.roots is not None:
+        degree = classes.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        out = out.join(classes.roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
     else:
         out = out.withColumns({"root": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
     return out.select("doc_id", F.when(F.col("n") > 0, F.coalesce("root", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
