@@ -35,12 +35,12 @@ OP7 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddi
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20"""
 
-OP10 = f"""WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place FROM conversations),
-s AS (SELECT *, CAST(place // {SEGMENT} AS BIGINT) AS segment FROM t),
-who AS (SELECT DISTINCT conv_id, segment, speaker AS me FROM s WHERE speaker <> 'system'),
-p AS (SELECT s.conv_id, s.segment, me, place, speaker = me AS own, CASE WHEN speaker = me THEN '{OPEN}assistant{CLOSE}' WHEN speaker = 'system' THEN '{OPEN}system{CLOSE}' ELSE '{OPEN}user:' || speaker || '{CLOSE}' END AS head, text || '{END}' AS body FROM who JOIN s ON s.conv_id IS NOT DISTINCT FROM who.conv_id AND s.segment = who.segment),
+OP10 = rf"""WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '{OPEN}', '<\|') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place FROM conversations),
+s AS (SELECT *, CAST(place // {SEGMENT} AS BIGINT) AS segment, replace(replace(speaker, '{OPEN}', '<\|'), '{CLOSE}', '|\>') AS name FROM t),
+who AS (SELECT DISTINCT conv_id, speaker AS me FROM s WHERE speaker <> 'system'),
+p AS (SELECT s.conv_id, s.segment, me, place, speaker = me AS own, CASE WHEN speaker = me THEN '{OPEN}assistant{CLOSE}' WHEN speaker = 'system' THEN '{OPEN}system{CLOSE}' ELSE '{OPEN}user:' || name || '{CLOSE}' END AS head, text || '{END}' AS body FROM who JOIN s ON s.conv_id IS NOT DISTINCT FROM who.conv_id),
 o AS (SELECT *, sum(len(head) + len(body)) OVER (PARTITION BY conv_id, segment, me ORDER BY place) AS until FROM p)
-SELECT conv_id, segment, me AS speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS rendered, coalesce(string_agg(CAST(until - len(body) AS BIGINT) || '-' || CAST(until AS BIGINT), ',' ORDER BY place) FILTER (own), '') AS masks, CAST(sum(len(body)) FILTER (own) AS BIGINT) AS n_trained FROM o GROUP BY conv_id, segment, me"""
+SELECT conv_id, segment, me AS speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS rendered, coalesce(string_agg(CAST(until - len(body) AS BIGINT) || '-' || CAST(until AS BIGINT), ',' ORDER BY place) FILTER (own), '') AS masks, coalesce(CAST(sum(len(body)) FILTER (own) AS BIGINT), 0) AS n_trained FROM o GROUP BY conv_id, segment, me"""
 
 #: Of op6, SQL expresses sizes and targets; the draws are tested against their bounds in tests/llm.
 TARGETS = f"""WITH s AS (SELECT source, CAST(sum(len({WORDS})) AS BIGINT) AS source_size FROM documents GROUP BY source),

@@ -1,12 +1,19 @@
 """Operator 10: multi-party chat formatting by perspective rotation.
 
-For every participant (a speaker other than ``system``), the dialogue is rendered with that speaker as the assistant, all
-others as named users, and a mask of what is trained on: the assistant's words and the end mark after them. System turns
-keep their role in every perspective and are never trained on.
+For every participant (a speaker other than ``system``) of a conversation, the whole dialogue is rendered with that speaker
+as the assistant, all others as named users, and a mask of what is trained on: the assistant's words and the end mark after
+them. System turns keep their role in every perspective and are never trained on.
 
-Turns are numbered within a conversation (turn, then speaker, then text) and cut into segments of SEGMENT turns, so that
-neither a conversation that holds a third of all rows nor one in which everybody speaks once is ever gathered, or rotated,
-whole: a segment has at most SEGMENT participants. Everything is DataFrame functions.
+A rendering is stored in pieces of SEGMENT turns: ``segment`` numbers them, and a participant has one for each segment of the
+conversation, whether they speak in it or not, so that the pieces in order, put together, are the dialogue as it would be
+rendered at once. Masks count from their piece's start.
+
+Turns are in the order of turn, then speaker, then text. They are dealt by ranges of that order, numbered inside of each, and
+the numbers of the ranges before are added: a conversation that holds a third of all rows is sorted and numbered in many
+tasks, and no more than SEGMENT turns are gathered. Rows grow with turns times participants, as the perspectives do.
+Everything is DataFrame functions.
+
+Marks inside of texts and names do not open a turn: ``<|`` is written ``<\\|`` there, and ``|>`` in names ``|\\>``.
 
 Results by case: a null text is rendered as empty; a null speaker is named ``unknown`` and takes part; null turns come
 first; repeated rows are separate turns; a conversation of system turns alone has no perspective and no row; a null
@@ -18,19 +25,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.base import stored
+
 SEGMENT = 64
 #: Marks of the rendering.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 
 
+def numbered(rows: DataFrame, group: str, *order) -> DataFrame:
+    """rows with ``place``: the number of each within its group, from 0, in the order given; no group is sorted by one task."""
+    spread = [F.col(group), *order]
+    # rows that agree in all of the order are interchangeable; their ids only spread them
+    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*spread, "tie").sortWithinPartitions(*spread, "tie")
+    ranged = stored(ranged.drop("tie").withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ranged")
+    firsts = ranged.groupBy(group, "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(F.col(group).alias("g"), F.col("range").alias("r"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return ranged.join(firsts, F.col(group).eqNullSafe(F.col("g")) & (F.col("range") == F.col("r"))).withColumn("place", F.col("at") + F.col("shift")).drop("g", "r", "shift", "range", "at")
+
+
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """``conv_id, segment, speaker, n_turns, rendered, masks`` (array of [start, end) code points that are trained on), ``n_trained``."""
     rows = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{speaker}`").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text")) - 1
-    rows = rows.withColumn("place", place).withColumn("segment", F.floor(F.col("place") / segment).cast("long"))
-    parts = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "text"))).alias("turns"), F.array_sort(F.collect_set(F.when(F.col("speaker") != "system", F.col("speaker")))).alias("who"))
-    seen = parts.select("conv_id", "segment", "turns", F.explode("who").alias("speaker"))
-    head = lambda t: F.when(t["speaker"] == F.col("speaker"), F.lit(f"{OPEN}assistant{CLOSE}")).when(t["speaker"] == "system", F.lit(f"{OPEN}system{CLOSE}")).otherwise(F.concat(F.lit(f"{OPEN}user:"), t["speaker"], F.lit(CLOSE)))
+    rows = numbered(rows, "conv_id", F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text"))
+    rows = rows.withColumns({"segment": F.floor(F.col("place") / segment).cast("long"), "text": F.replace("text", F.lit(OPEN), F.lit("<\\|"))})
+    parts = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "text"))).alias("turns"))
+    who = rows.where("speaker <> 'system'").select(F.col("conv_id").alias("c"), "speaker").distinct()
+    seen = parts.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    named = lambda s: F.replace(F.replace(s, F.lit(OPEN), F.lit("<\\|")), F.lit(CLOSE), F.lit("|\\>"))
+    head = lambda t: F.when(t["speaker"] == F.col("speaker"), F.lit(f"{OPEN}assistant{CLOSE}")).when(t["speaker"] == "system", F.lit(f"{OPEN}system{CLOSE}")).otherwise(F.concat(F.lit(f"{OPEN}user:"), named(t["speaker"]), F.lit(CLOSE)))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), (t["speaker"] == F.col("speaker")).alias("own")))
     seen = seen.withColumn("pieces", pieces)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
