@@ -22,28 +22,16 @@ conversation id is a conversation of its own; an empty table gives no rows; othe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.base import stored
+from loomwright.llm.base import numbered
 
 SEGMENT = 64
 #: Marks of the rendering.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 
 
-def numbered(rows: DataFrame, group: str, *order) -> DataFrame:
-    """rows with ``place``: the number of each within its group, from 0, in the order given; no group is sorted by one task."""
-    spread = [F.col(group), *order]
-    # rows that agree in all of the order are interchangeable; their ids only spread them
-    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*spread, "tie").sortWithinPartitions(*spread, "tie")
-    ranged = stored(ranged.drop("tie").withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ranged")
-    firsts = ranged.groupBy(group, "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select(F.col(group).alias("g"), F.col("range").alias("r"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return ranged.join(firsts, F.col(group).eqNullSafe(F.col("g")) & (F.col("range") == F.col("r"))).withColumn("place", F.col("at") + F.col("shift")).drop("g", "r", "shift", "range", "at")
-
-
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """``conv_id, segment, speaker, n_turns, rendered, masks`` (array of [start, end) code points that are trained on), ``n_trained``."""
     rows = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{speaker}`").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))

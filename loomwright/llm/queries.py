@@ -35,7 +35,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return p.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    shards = F.array_join(F.transform("shards", lambda s: s.cast("string")), ",")
+    return p.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), shards.alias("mix_shards"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
