@@ -1,18 +1,20 @@
 """Operator 8: token-id output in a grammar-compressed binary format (Re-Pair).
 
 Documents are range-partitioned and sorted by key. Each partition is cut into shards of about SHARD_IDS ids. In a shard,
-Re-Pair runs in rounds: count all adjacent id pairs, give the most frequent ones nonterminals, and replace their
-occurrences from left to right; no pair spans two documents. A shard is one row of the output files:
+Re-Pair repeats until no pair of adjacent symbols occurs LEAST times. A pass gives nonterminals to all pairs that do and
+replaces their occurrences; where two overlap, the more frequent pair goes first, and the other is counted again in the
+next pass. No pair spans two documents. A shard is one row of the output files:
 
 ``part, shard, offset`` (ids of the partition before it), ``keys`` (document keys, ascending), ``ends`` (end of each
 document in symbols, u32), ``rules`` (pairs of symbols, u32; rule k is symbol base + k), ``lengths`` (ids that each rule
 expands to, u32), ``symbols`` (u16 if all fit, else u32), ``base`` and ``n_ids``.
 
-A document is decoded alone from its symbols and the rules; ``lengths`` gives the place of any id without expansion.
+A document is decoded alone from its symbols and the rules; ``lengths`` gives the place of any id without expansion, so that
+a range of ids is decoded from the symbols that cover it.
 The files are Parquet, written by Spark's committer, so that lost executors are written again and any store will do.
 
 Results by case: a null text is the empty text, so the document is its end id alone; rows with equal keys follow each
-other in text order; null keys come first; an empty table gives files without rows; other columns aren't written.
+other, in text order unless they are so many that they fill several partitions; null keys come first; an empty table gives files without rows; other columns aren't written.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHARD_IDS = 1 << 20
-#: Rounds and nonterminals for each; a pair must occur this often in its shard.
-ROUNDS, PAIRS, LEAST = 2, 4096, 16
+#: A pair that occurs this often in its shard gets a rule (of 12 bytes).
+LEAST = 16
+#: Bits of the table that finds a pair's rule; of pairs that share a place, the most frequent goes first.
+PLACES = 20
 #: Pieces whose ids a worker remembers, about 60 bytes each.
 MEMO = 600_000
 
@@ -40,46 +44,62 @@ SHARDS = T.StructType([
 ])
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
-    """(symbols, last, rules as an array of pairs). ``last`` marks the final id of each document; no rule spans it."""
-    rules = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        small = base + len(rules) + pairs <= 1 << 16
-        wide, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
-        s = ids.astype(wide)
-        codes = (s[:-1] << shift) | s[1:]
-        free = ~last[:-1]
-        order = np.sort(codes[free])
-        if not len(order):
-            break
+def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST):
+    """(symbols, last, rules as an array of pairs). ``last`` marks the final id of each document; no rule spans it.
+
+    Symbols are a linked list. After a pass, only pairs that hold a new symbol, or that gave way to another pair, can occur
+    ``least`` times, so a pass looks at these alone.
+    """
+    n, made, rules = len(ids), 0, [np.empty((0, 2), np.uint32)]
+    sym, last, gone = ids.astype(np.uint32), last.copy(), np.zeros(n, bool)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    pos = np.flatnonzero(~last)
+    while len(pos):
+        codes = (sym[pos].astype(np.uint64) << np.uint64(32)) | sym[after[pos]]
+        order = np.sort(codes)
         starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         counts = np.diff(np.append(starts, len(order)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        often = counts >= least
+        chosen, counts = order[starts[often]], counts[often]
+        if not len(chosen):
             break
-        top = often[np.lexsort((often, -counts[often]))[:pairs]]
-        chosen = np.sort(order[starts[top]])
-        place = lambda c: (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-        slots = place(chosen)  # a table of 2^18 slots finds a code's rule; the few pairs that share a slot wait for the next round
-        chosen = chosen[np.bincount(slots.astype(np.int64), minlength=1 << 18)[slots] == 1]
-        table = np.zeros(1 << 18, np.int32)
-        table[place(chosen)] = np.arange(len(chosen))
-        at = table[place(codes)]
-        hit = free & (chosen[at] == codes) if len(chosen) else free & False
-        where = np.flatnonzero(hit)
-        run = np.concatenate(([True], np.diff(where) > 1))  # overlapping occurrences: take every other one from the left
-        first = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - first) % 2 == 0]
-        out = ids.astype(np.uint32)
-        out[where] = base + len(rules) + at[where]
-        keep = np.ones(len(ids), bool)
-        keep[where + 1] = False
-        last = last.copy()
-        last[where] = last[where + 1]
-        ids, last = out[keep], last[keep]
-        low = wide((1 << int(shift)) - 1)
-        rules = np.concatenate((rules, np.stack((chosen >> shift, chosen & low), 1).astype(np.uint32)))
-    return ids.astype(np.uint32), last, rules
+        by_count = np.lexsort((chosen, -counts))
+        rank = np.empty(len(chosen), np.int64)
+        rank[by_count] = np.arange(len(chosen))
+        place = lambda c: (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)
+        table, shared = np.zeros(1 << PLACES, np.int32), np.zeros(1 << PLACES, bool)
+        slots = place(chosen)
+        table[slots[by_count[::-1]]] = by_count[::-1]  # the most frequent is written last
+        shared[slots[table[slots] != np.arange(len(chosen))]] = True
+        slot = place(codes)
+        at = table[slot]
+        hit = chosen[at] == codes
+        waiting = pos[shared[slot] & ~hit]
+        pos, at = pos[hit], at[hit]
+        # an occurrence gives way to a neighbour of better rank; of a run of one pair, every other one is taken
+        r, meets = rank[at], after[pos[:-1]] == pos[1:]
+        lost = np.zeros(len(pos), bool)
+        lost[:-1] |= meets & (r[1:] < r[:-1])
+        lost[1:] |= meets & (r[:-1] < r[1:])
+        kept = np.flatnonzero(~lost)
+        run = np.concatenate(([True], after[pos[kept[:-1]]] != pos[kept[1:]]))
+        first = np.maximum.accumulate(np.where(run, np.arange(len(kept)), 0))
+        kept = kept[(np.arange(len(kept)) - first) % 2 == 0]
+        good = np.bincount(at[kept], minlength=len(chosen)) >= max(1, least // 2)  # holds for the first of all
+        kept = kept[good[at[kept]]]
+        where = pos[kept]
+        sym[where] = base + made + (np.cumsum(good) - 1)[at[kept]]
+        second = after[where]
+        gone[second], last[where] = True, last[second]
+        after[where] = after[second]
+        some = after[where] < n
+        before[after[where][some]] = where[some]
+        rules.append(np.stack((chosen[good] >> np.uint64(32), chosen[good] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        made += int(good.sum())
+        pos = np.unique(np.concatenate((pos, waiting, where, before[where])))
+        pos = pos[pos >= 0]
+        pos = pos[~(gone[pos] | last[pos])]
+    return sym[~gone], last[~gone], np.concatenate(rules)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -328,7 +348,8 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, key: str = "doc_id", tex
 
     raw = vocabulary(df, tokenizer)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    # the row's number spreads rows with one key, which may be a third of all
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(F.col("key").asc_nulls_first(), "tie").select("key", "text").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -384,6 +405,20 @@ def read_document(row: dict, k: int) -> np.ndarray:
     return expand(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2), row["base"])
 
 
+def read_ids_at(row: dict, start: int, count: int) -> np.ndarray:
+    """Random access: ``count`` ids of a shard from its id ``start`` on; only the symbols that cover them are expanded."""
+    width, base = row["symbols"][-1], row["base"]
+    symbols = np.frombuffer(row["symbols"][:-1], f"<u{width}")
+    lengths, wide = np.frombuffer(row["lengths"], "<u4"), symbols.astype(np.int64) - base
+    upto = np.cumsum(np.where(wide >= 0, lengths[np.maximum(wide, 0)] if len(lengths) else 1, 1))
+    stop = min(start + count, row["n_ids"])
+    if stop <= start:
+        return np.zeros(0, np.uint32)
+    lo, hi = int(np.searchsorted(upto, start, "right")), int(np.searchsorted(upto, stop - 1, "right")) + 1
+    skip = start - (int(upto[lo - 1]) if lo else 0)
+    return expand(symbols[lo:hi], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), base)[skip : skip + stop - start]
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: ``key``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` binary, ``crc32``."""
     shards = spark.read.schema(SHARDS).parquet(path)
