@@ -181,15 +181,24 @@ class MergeAutomaton:
         return out[::-1]
 
 
-def joined(parts: list[tuple[int, bytes, str]]) -> tuple[int, bytes, str]:
-    return sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), " ".join([p[2] for p in parts if p[0]])
+def joined(parts: list[tuple[int, bytes]]) -> tuple[int, bytes]:
+    return sum([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
 
 class WordCodec:
-    """Normalization, pre-splitting and added tokens around the automaton, with a bounded memo of whole words."""
+    """Normalization, pre-splitting and added tokens around the automaton, with a bounded memo of whole words.
+
+    Words are normalized and cut with Python's tables. Where these know less, or other, than the vocabulary's library (code
+    points that Python's version of Unicode has not assigned: lower case, classes, compositions), the library's own
+    normalizer and pre-split are asked; the automaton encodes the pieces all the same.
+    """
 
     def __init__(self, raw: bytes):
+        from tokenizers import Tokenizer
+
         spec = json.loads(raw)
+        library = Tokenizer.from_str(raw.decode())
+        self.normalize, self.presplit = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.automaton = MergeAutomaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -199,12 +208,14 @@ class WordCodec:
         self.spaces = re.compile(f"[{SPACES}]+")
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the vocabulary doesn't
         self.alphabet = byte_alphabet()
-        self._words: dict[str, tuple[int, bytes, str]] = {}
-        self._pieces: dict[str, tuple[int, bytes, str]] = {}
+        self._words: dict[str, tuple[int, bytes]] = {}
+        self._pieces: dict[str, tuple[int, bytes]] = {}
 
     def split(self, word: str) -> list[str]:
         """Pieces of one word without white space, in the byte alphabet."""
         if not word.isascii():
+            if "Cn" in map(unicodedata.category, word):
+                return [p for p, _ in self.presplit(self.normalize(word))]
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
         word = word.lower()
         found = self.pieces(word)
@@ -212,19 +223,19 @@ class WordCodec:
             return found if word.isprintable() else ["".join(map(self.alphabet.__getitem__, p.encode())) for p in found]
         return ["".join(map(self.alphabet.__getitem__, p.encode())) for p in found]
 
-    def piece(self, piece: str) -> tuple[int, bytes, str]:
+    def piece(self, piece: str) -> tuple[int, bytes]:
         got = self._pieces.get(piece)
         if got is None:
             ids = self.automaton.encode(piece)
-            got = len(ids), struct.pack(f"<{len(ids)}I", *ids), self.spell(ids)
+            got = len(ids), struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
                 if len(self._pieces) >= MEMO:
                     self._pieces.clear()
                 self._pieces[piece] = got
         return got
 
-    def word(self, word: str) -> tuple[int, bytes, str]:
-        """(number of tokens, ids as little-endian 32 bits, arc labels joined by blanks)."""
+    def word(self, word: str) -> tuple[int, bytes]:
+        """(number of tokens, ids as little-endian 32 bits)."""
         got = self._words.get(word)
         if got is None:
             parts = [self.piece(p) for p in self.split(word)]
@@ -235,10 +246,9 @@ class WordCodec:
                 self._words[word] = got
         return got
 
-    def spell(self, ids: list[int]) -> str:
+    def spell(self, ids) -> str:
         """Emit the labels of the arcs; the vocabulary's file names no decoder, so labels are joined by blanks."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
     def words(self, text: str):
         """(word, id of an added token or None) in text order."""
@@ -250,10 +260,10 @@ class WordCodec:
                 for w in part.split() if not self.odd(part) else filter(None, self.spaces.split(part)):
                     yield w, None
 
-    def encode(self, text: str | None) -> tuple[int, bytes, str]:
+    def encode(self, text: str | None) -> tuple[int, bytes]:
         text = text or ""
         if "<|" in text or self.odd(text):
-            got = [self.word(w) if i is None else (1, struct.pack("<I", i), self.labels[i]) for w, i in self.words(text)]
+            got = [self.word(w) if i is None else (1, struct.pack("<I", i)) for w, i in self.words(text)]
         else:
             known = self._words
             got = [known.get(w) or self.word(w) for w in text.split()]
@@ -266,7 +276,7 @@ class WordCodec:
         self.automaton._known, self.automaton._arcs = {}, {0: {}}
 
     def decode(self, ids: bytes) -> str:
-        return self.spell(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
+        return self.spell(struct.unpack(f"<{len(ids) // 4}I", ids))
 
 
 @lru_cache(2)
@@ -313,14 +323,18 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", decoded: bool = True) -> DataFrame:
-    """df with ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32 bits) and, if asked for, ``decoded`` string."""
+    """df with ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32 bits) and, if asked for, ``decoded`` string: these ids decoded."""
     raw = vocabulary(df, tokenizer)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
     def make():
         c = codec(raw.value)
-        run = c.encode
-        return (run if decoded else lambda t: run(t)[:2]), c.release
+
+        def both(t):
+            n, ids = c.encode(t)
+            return n, ids, c.decode(ids)
+
+        return (both if decoded else c.encode), c.release
 
     return map_texts(df, text, fields if decoded else fields[:2], make)
 
