@@ -6,9 +6,11 @@ token), the automaton state there, and its token count relative to now. A transi
 by which the count changes, so a word's count is the sum of the annotations on its path. States and transitions are compiled
 when first visited; there are finitely many, as tokens have a greatest length.
 
-A text is cut into chunks of CHUNK characters. A chunk's state map is symbolic: what precedes its first white space (its
-head) and follows its last (its tail) depend on neighbours, all between doesn't, for white space takes every state to the
-start state. Maps compose associatively, and a chunk's maps are folded pairwise in a balanced tree, as in a prefix scan.
+Longer texts than CHUNK characters are cut into chunks, which are rows of their own: the chunks of one text are mapped in
+many tasks. A chunk's state map is symbolic: what precedes its first white space (its head) and follows its last (its tail)
+depend on neighbours, all between doesn't, for white space takes every state to the start state. Maps compose
+associatively, and a text's maps are folded pairwise in a balanced tree, as in a prefix scan; only heads and tails, the pieces
+of words that chunks cut, come together for it. A text without any white space is one piece, and is put together whole.
 
 Results by case: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results; an empty table
 gives an empty result; other columns stay, clashing ones are replaced. No text is truncated.
@@ -19,13 +21,17 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.llm.base import fresh, stored
 from loomwright.llm.bpe_automaton import MEMO, SPACES, STATES, MergeAutomaton, WordCodec, codec, map_texts, vocabulary
 
 CHUNK = 1 << 16
 
+
 class CountingTransducer:
     def __init__(self, automaton: MergeAutomaton):
         self.automaton = automaton
@@ -131,7 +137,10 @@ class TextCounter:
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if len(text) <= chunk:
             return self.closed(text)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        return self.folded([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
+
+    def folded(self, maps: list[tuple]) -> int:
+        """The count of a text from its chunks' maps."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         head, between, tail = maps[0]
@@ -143,18 +152,49 @@ def counter(raw: bytes) -> TextCounter:
     return TextCounter(codec(raw))
 
 
-def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 2048) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
     """df with ``n_bytes`` long (UTF-8), ``n_tokens`` long and ``over_limit`` boolean."""
     raw = vocabulary(df, tokenizer)
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    body = F.col(f"`{text}`").cast("string")
+    long_ = F.coalesce(F.length(body) > chunk, F.lit(False))
 
     def make():
         c = counter(raw.value)
 
         def one(t):
-            n = c.count(t or "")
+            n = c.count(t or "", chunk)
             return len((t or "").encode()), n, n > limit
 
         return one, c.release
 
-    return map_texts(df, text, fields, make)
+    short = map_texts(df.where(~long_), text, fields, make)
+
+    def cut(batches):
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                t = t.as_py()
+                for k in range(0, len(t), chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()]), pa.array([k // chunk], pa.int32()), pa.array([t[k : k + chunk]])], names=["i", "k", "t"])
+
+    def mapped(batches):
+        c = counter(raw.value)
+        for b in batches:
+            maps = [c.chunk_map(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([m[j] for m in maps], t) for j, t in enumerate((pa.string(), pa.int64(), pa.string())))], names=["i", "k", "head", "between", "tail"])
+        c.release()
+
+    def folded(batches):
+        c = counter(raw.value)
+        for b in batches:
+            n = [c.folded([(m["head"], m["between"], m["tail"]) for m in maps.as_py()]) for maps in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["i", "n"])
+        c.release()
+
+    row, i, n = fresh(short, "row", "i", "n")
+    longer = stored(df.where(long_).withColumn(row, F.monotonically_increasing_id()), "long")
+    maps = longer.select(row, body).mapInArrow(cut, "i long, k int, t string").repartition("i", "k").mapInArrow(mapped, "i long, k int, head string, between long, tail string")
+    counts = maps.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("k", "head", "between", "tail"))).alias("maps")).mapInArrow(folded, "i long, n long").withColumnsRenamed({"i": i, "n": n})
+    longer = longer.join(counts, F.col(row) == F.col(i))
+    kept = [F.col(f"`{c}`") for c in short.columns[: -len(fields)]]
+    return short.union(longer.select(*kept, F.octet_length(body).cast("long"), F.col(n), F.col(n) > limit))
