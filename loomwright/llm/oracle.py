@@ -15,18 +15,19 @@ d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text
 g AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-c AS MATERIALIZED (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals,
+c AS MATERIALIZED (SELECT doc_id, lang, t, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals,
   CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) LEFT JOIN rep USING (r)),
 b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"1000 * {a} // greatest({n}, 1) AS m_{r}" for r, (a, n) in RULES.items())} FROM c)"""
 
 RULE_TESTS = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, m_{r} AS m FROM h" for r in RULES)
 
+RATE = RISK / len(RULES)
 OP1 = f"""WITH {COUNTS},
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT b.* FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT DISTINCT b.* EXCLUDE (doc_id) FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
 k AS (SELECT lang, rule, cutoff, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (m > cutoff) AS BIGINT) AS k FROM ({RULE_TESTS}), (SELECT unnest({list(GRID)}) AS cutoff) GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k < n * {RISK} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) ELSE 1 END AS tail FROM k),
+p AS (SELECT *, CASE WHEN k < n * {RATE} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RATE}) + (n - i) * ln(1 - {RATE})))) ELSE 1 END AS tail FROM k),
 f AS (SELECT *, max(CASE WHEN tail > {DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(1))) FROM h) * {len(RULES)}) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS failed FROM p),
 cut AS (SELECT lang AS stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}' AND failed = 0) AS c_{r}" for r in RULES)} FROM f GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"coalesce(m_{r} <= c_{r}, true)" for r in RULES)} AS kept FROM b LEFT JOIN cut ON lang IS NOT DISTINCT FROM stratum"""

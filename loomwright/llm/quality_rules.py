@@ -2,15 +2,17 @@
 
 Base counts come from whole texts. Each rule compares a ratio, in thousandths, with a cutoff that is selected for its
 stratum (language) on the labelled holdout: documents labelled good that pass the base test. For a cutoff c, k of n good
-documents would be rejected; c is safe if a binomial variable with n trials and rate ``risk`` is at most k with a chance of
-at most the level, that is if the exact (Clopper-Pearson) upper bound of the false rejection rate is below ``risk``.
+documents would be rejected; c is safe if a binomial variable with n trials and the rule's rate is at most k with a chance of
+at most the level, that is if the exact (Clopper-Pearson) upper bound of the false rejection rate is below that rate.
 The cutoffs of one rule are tested from the loosest on and testing stops at the first failure, so they share one level;
-rules and strata divide ``delta`` (Bonferroni). A rule without a safe cutoff in a stratum rejects nothing there. With
-probability 1 - delta over the labels, every rule in every stratum then rejects at most ``risk`` of the good documents.
+rules and strata divide ``delta`` (Bonferroni), and the rules of a stratum divide ``risk``. A rule without a safe cutoff in a
+stratum rejects nothing there. With probability 1 - delta over the labels, the rules together then reject at most ``risk``
+of the good documents of every stratum that pass the base test. Each text counts once in the holdout, as equal ones are
+no independent trials.
 
 Results by case: null and wordless texts have counts of 0 and fail the base test; a null stratum is a stratum of its own;
 documents without labels don't matter for cutoffs, a document with several labels is good only if all of them are;
-repeated rows get equal results (and count as often as they occur in the holdout); an empty table gives an empty result;
+repeated rows get equal results; an empty table gives an empty result;
 a tie with a cutoff is kept; extra columns stay, clashing ones are replaced.
 """
 
@@ -26,7 +28,7 @@ from loomwright.llm.base import SPACE, fresh, stored
 #: Rules: name -> (count column, column it is divided by).
 RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars")}
 GRID = (5, 10, 15, 20, 30, 40, 50, 75, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900)
-RISK, DELTA = 0.01, 0.05
+RISK, DELTA = 0.02, 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -89,12 +91,11 @@ def at_most(k: Column, n: Column, rate: float) -> Column:
 
 def select_cutoffs(holdout: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """``stratum, c_<rule>...`` (null: no safe cutoff) from good documents that pass the base test."""
-    counts = holdout.groupBy(F.col(f"`{stratum}`").alias("stratum")).agg(F.count("*").alias("n"), *[F.count_if(permille(r) > c).alias(f"k_{r}_{c}") for r in RULES for c in GRID])
+    counts = stored(holdout.groupBy(F.col(f"`{stratum}`").alias("stratum")).agg(F.count("*").alias("n"), *[F.count_if(permille(r) > c).alias(f"k_{r}_{c}") for r in RULES for c in GRID]), "strata")
     tests = counts.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k_{r}_{c}").alias("k")) for r in RULES for c in GRID])).alias("t")).select("stratum", "n", "t.*")
-    strata = F.size(F.collect_set(F.coalesce("stratum", F.lit("\0"))).over(Window.partitionBy()))  # one row for each stratum, rule and cutoff
-    tests = tests.withColumn("level", F.lit(delta) / (strata * len(RULES)))
+    level = delta / (max(1, counts.count()) * len(RULES))
     loosest = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc())
-    tests = tests.withColumn("failed", F.max((at_most(F.col("k"), F.col("n"), risk) > F.col("level")).cast("int")).over(loosest))
+    tests = tests.withColumn("failed", F.max((at_most(F.col("k"), F.col("n"), risk / len(RULES)) > level).cast("int")).over(loosest))
     return tests.groupBy("stratum").agg(*[F.min(F.when((F.col("rule") == r) & (F.col("failed") == 0), F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
 
 
@@ -105,19 +106,18 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     names = {*COUNTS, "base_failed", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    s, = fresh(docs, "stratum")
-    lang = F.col(f"`{stratum}`").cast("string").alias(s)
-    counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in docs.columns], lang), text)
+    s, x, at, *cuts = fresh(docs, "stratum", "digest", "at", *RULES)
+    lang, digest = F.col(f"`{stratum}`").cast("string").alias(s), F.xxhash64(F.col(f"`{text}`").cast("string")).alias(x)
+    counted = base_counts(docs.select(*[F.col(f"`{c}`") for c in docs.columns], lang, digest), text)
     if not carry:
-        counted = counted.select(F.col(f"`{key}`"), s, *COUNTS, "base_failed")
+        counted = counted.select(F.col(f"`{key}`"), s, x, *COUNTS, "base_failed")
     counted = stored(counted, "counts")
-    good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
-    holdout = counted.where(~F.col("base_failed")).select(F.col(f"`{key}`").alias("_key"), F.col(s), *COUNTS).join(good, F.col("_key") == F.col("_label_id"), "left_semi")
-    cutoffs = stored(select_cutoffs(holdout, s, risk, delta), "cutoffs")
-    near = F.broadcast(cutoffs) if cutoffs.count() <= 10_000 else cutoffs
-    out = counted.join(near, F.col(s).eqNullSafe(F.col("stratum")), "left")
-    passes = [F.coalesce(permille(r) <= F.col(f"c_{r}"), F.lit(True)) for r in RULES]
+    good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label")).agg(F.min("quality").alias("quality")).where("quality = 1")
+    holdout = counted.where(~F.col("base_failed")).select(F.col(f"`{key}`").alias("key"), F.col(s).alias("stratum"), F.col(x).alias("digest"), *COUNTS).join(good, F.col("key") == F.col("label"), "left_semi")
+    cutoffs = stored(select_cutoffs(holdout.dropDuplicates(["stratum", "digest", *COUNTS]), "stratum", risk, delta), "cutoffs")
+    near = cutoffs.select(F.col("stratum").alias(at), *[F.col(f"c_{r}").alias(c) for r, c in zip(RULES, cuts, strict=True)])
+    out = counted.join(F.broadcast(near) if cutoffs.count() <= 10_000 else near, F.col(s).eqNullSafe(F.col(at)), "left")
     kept = ~F.col("base_failed")
-    for p in passes:
-        kept = kept & p
-    return out.withColumn("kept", kept).drop("stratum", s, *[f"c_{r}" for r in RULES])
+    for r, c in zip(RULES, cuts, strict=True):
+        kept = kept & F.coalesce(permille(r) <= F.col(c), F.lit(True))
+    return out.withColumn("kept", kept).drop(at, s, x, *cuts)
