@@ -130,14 +130,16 @@ def co_train(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, rounds:
     return {"w": w, "platt": platt, "mix": mix, "cutoff": min(0.5, float(np.quantile(p[last], FALSE_REJECTION, method="lower")))}
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> dict:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", pool_size: int = POOL) -> dict:
     order = F.xxhash64("id")
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
     some = known.orderBy(order, "id").limit(LABELLED)
-    pool = docs.select(F.col(f"`{key}`").cast("long").alias("id")).where("id IS NOT NULL").join(known, "id", "left_anti").orderBy(order, "id").limit(POOL).distinct()
+    pool = docs.select(F.col(f"`{key}`").cast("long").alias("id")).where("id IS NOT NULL").join(known, "id", "left_anti").orderBy(order, "id").limit(pool_size).distinct()
     # at most LABELLED + POOL rows of two numbers
     ids = F.broadcast(some.union(pool.select("id", F.lit(-1))))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{source}`").cast("string").alias("s"), F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{n_chars}`").cast("long").alias("n")).join(ids, "id")
+    # of rows with one id, one is taken: an id may be repeated any number of times
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct("t", "s", "l", "n")).alias("r")).select("id", "r.t", "r.s", "r.l", "r.n", "y")
 
     def run(batches):
         for b in batches:
@@ -179,10 +181,10 @@ def low_quantile(values: DataFrame, share: float) -> float | None:
     return values.agg(F.min("score")).first()[0]
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", pool_size: int = POOL) -> DataFrame:
     """``doc_id, p_text, p_meta, score, kept`` for every row of docs."""
     names = (key, text, source, lang, n_chars)
-    model = train(docs, labels, *names)
+    model = train(docs, labels, *names, pool_size)
     used = model.pop("used")
     if used:
         good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y")).where("y = 1")
