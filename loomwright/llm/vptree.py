@@ -7,24 +7,32 @@ room: the query's distance to the vantage point differs from the side's nearest
 so far divided by ``factor``. Factor 1 is exact; larger factors prune more. Leaves hold at most LEAF vectors and a block of
 queries descends together, so distances are matrix products.
 
+Each tree is built once and stored. Queries go past the trees in blocks of QUERIES, broadcast (their number is the bound); a
+task takes its trees one after the other, and the k best that it has found so far prune the next tree too. It returns one
+list for each query, so what is shuffled grows with the queries, not with queries times shards.
+
 Every row is indexed; nothing is sampled. Scores are summed in component order in double precision on the original
 vectors, so equal vectors tie exactly and ties go to the smaller id.
 
 Results by case: vectors that are null, zero, or hold null or non-finite components take no part, as queries or
-candidates; repeated ids are separate candidates (a query's own id is left out of its result); with fewer candidates than
+candidates; repeated ids are separate candidates (a query's own id is left out of its result), and a repeated query id has one result, the
+best pairs of all its rows; with fewer candidates than
 k all are returned; vectors of another length than the most common one raise an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.base import stored
 
-SHARD, QUERIES, LEAF, FAN = 8192, 4096, 128, 64
+SHARD, QUERIES, LEAF, FAN = 8192, 8192, 128, 64
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -62,9 +70,13 @@ def build(points: np.ndarray, leaf: int = LEAF) -> list:
     return nodes
 
 
-def search(nodes: list, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, squared distances) of the k nearest of each query, -1 and inf where there are fewer."""
+def search(nodes: list, points: np.ndarray, queries: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, squared distances) of the k nearest of each query, -1 and inf where there are fewer.
+
+    With a bound (squared) for each query, points that are farther may be missed.
+    """
     n = len(queries)
+    bound = np.full(n, np.inf) if bound is None else bound
     best, which = np.full((n, k), np.inf), np.full((n, k), -1)
     norms = (points * points).sum(1)
     qnorms = (queries * queries).sum(1)
@@ -82,7 +94,7 @@ def search(nodes: list, points: np.ndarray, queries: np.ndarray, k: int, factor:
         first_near = d <= (near_hi + far_lo) / 2
         for side, lo, hi, mine in ((near, near_lo, near_hi, first_near), (far, far_lo, far_hi, ~first_near), (near, near_lo, near_hi, ~first_near), (far, far_lo, far_hi, first_near)):
             gap = np.maximum(0, np.maximum(lo - d, d - hi))
-            go = who[mine & (gap * factor <= np.sqrt(best[who].max(1)) * (1 + 1e-9) + 1e-9)]
+            go = who[mine & (gap * factor <= np.sqrt(np.minimum(best[who].max(1), bound[who])) * (1 + 1e-9) + 1e-9)]
             if len(go):
                 visit(side, go)
 
@@ -94,8 +106,8 @@ def search(nodes: list, points: np.ndarray, queries: np.ndarray, k: int, factor:
 def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.3, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where is_query holds, against all other rows.
 
-    Queries and vectors are dealt into blocks of bounded size; a task gets one shard and one block of queries, searches the
-    shard's tree and returns k rows a query. The k best of all shards are chosen by partial top-k lists.
+    Vectors are dealt into shards, and queries into blocks, of bounded size by hash. The k best of all tasks are chosen from
+    their lists.
     """
     v = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").cast("array<double>").alias("x"))
     ok = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("x", lambda c: c != 0)
@@ -105,41 +117,57 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, factor: float = 1.3, vec_
         raise ValueError("vectors differ in length")
     shards, blocks, most = max(1, -(-size.n // shard)), max(1, -(-size.m // queries)), float(size.most or 0)
     deal = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    left = v.select(deal(1, shards).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "id", "x")
-    right = v.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), deal(2, blocks).alias("b"), "id", "x")
-
-    def find(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        got = {"g": [], "query_id": [], "vec_id": [], "score": []}
-        if len(points) and len(asked):
-            group = int(points["s"].iloc[0]) // FAN
-            points = points.sort_values("id", kind="stable", ignore_index=True)
-            ids, own = points["id"].to_numpy(), asked["id"].to_numpy()
-            x, back = np.unique(np.stack(points["x"].to_numpy()).astype(float), axis=0, return_inverse=True)
-            # equal vectors are one point of the tree; as ties go to smaller ids, its k + 1 smallest ids hold all that can be asked for
-            members = np.argsort(back.ravel(), kind="stable")
-            size = np.bincount(back.ravel(), minlength=len(x))
-            begin = np.cumsum(size) - size
-            q = np.stack(asked["x"].to_numpy()).astype(float)
-            lifted = lift(x, most)
-            which, _ = search(build(lifted), lifted, np.concatenate((q, np.zeros((len(q), 1))), 1), min(len(x), k + 8), factor)
-            a, c = np.nonzero(which >= 0)
-            point = which[a, c]
-            s = products(q[a], x[point])
-            many = np.minimum(size[point], k + 1)
-            row = np.repeat(np.arange(len(a)), many)
-            v = ids[members[begin[point][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]]
-            a, s = a[row], s[row]
-            keep = v != own[a]
-            a, s, v = a[keep], s[keep], v[keep]
-            order = np.lexsort((v, -s, a))
-            a, s, v = a[order], s[order], v[order]
-            top = np.arange(len(a)) - np.searchsorted(a, a) < k
-            got = {"g": np.full(int(top.sum()), group), "query_id": own[a[top]], "vec_id": v[top], "score": s[top]}
-        return pd.DataFrame(got).astype({"g": "int32", "query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInPandas(find, "g int, query_id long, vec_id long, score double")
+
+    def grow(key, points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("id", kind="stable", ignore_index=True)
+        x, back = np.unique(np.stack(points["x"].to_numpy()).astype(float), axis=0, return_inverse=True)
+        # equal vectors are one point of the tree; as ties go to smaller ids, its k + 1 smallest ids hold all that can be asked for
+        members, size = np.argsort(back.ravel(), kind="stable"), np.bincount(back.ravel(), minlength=len(x))
+        ids = points["id"].to_numpy()[members]
+        return pd.DataFrame({"s": [key[0]], "tree": [pickle.dumps((ids, np.cumsum(size) - size, size, x, build(lift(x, most))))]})
+
+    trees = stored(v.select(deal(1, shards).alias("s"), "id", "x").groupBy("s").applyInPandas(grow, "s int, tree binary"), "trees")
+
+    def past(batches, own: np.ndarray, q: np.ndarray):
+        from pyspark import TaskContext
+
+        n, norms = len(own), (q * q).sum(1) + most
+        lifted_q = np.concatenate((q, np.zeros((n, 1))), 1)
+        score, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        for batch in batches:
+            for blob in batch.column(1):
+                ids, begin, size, x, nodes = pickle.loads(blob.as_py())
+                bound = np.maximum(0, norms - 2 * score[:, -1])
+                which, _ = search(nodes, lift(x, most), lifted_q, min(len(x), k + 8), factor, bound)
+                a, c = np.nonzero(which >= 0)
+                point = which[a, c]
+                s = products(q[a], x[point])
+                many = np.minimum(size[point], k + 1)
+                row = np.repeat(np.arange(len(a)), many)
+                new = ids[begin[point][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+                a, s = a[row], s[row]
+                keep = new != own[a]
+                old_a, old_c = np.nonzero(score > -np.inf)
+                a, s, new = np.concatenate((a[keep], old_a)), np.concatenate((s[keep], score[old_a, old_c])), np.concatenate((new[keep], found[old_a, old_c]))
+                order = np.lexsort((new, -s, a))
+                a, s, new = a[order], s[order], new[order]
+                rank = np.arange(len(a)) - np.searchsorted(a, a)
+                top = rank < k
+                score[a[top], rank[top]], found[a[top], rank[top]] = s[top], new[top]
+        a, c = np.nonzero(score > -np.inf)
+        group = np.full(len(a), TaskContext.get().partitionId() // FAN, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(own[a]), pa.array(found[a, c]), pa.array(score[a, c])], names=["g", "query_id", "vec_id", "score"])
+
+    found = None
+    for b in range(blocks):
+        asked = v.where(F.col("q") & (deal(2, blocks) == b)).select("id", "x").toPandas().sort_values("id", kind="stable")  # about QUERIES rows
+        if not len(asked):
+            continue
+        block = vectors.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(np.int64), np.stack(asked["x"].to_numpy()).astype(float)))
+        some = stored(trees.mapInArrow(lambda batches, block=block: past(batches, *block.value), "g int, query_id long, vec_id long, score double"), "found")
+        found = some if found is None else found.union(some)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top")
-    best = found.groupBy("query_id", "g").agg(lists)
-    if shards > FAN:  # the lists of FAN shards at a time are cut to k first
-        best = best.select("query_id", F.inline("top")).select("query_id", (-F.col("far")).alias("score"), "vec_id").groupBy("query_id").agg(lists)
+    best = found.groupBy("query_id", "g").agg(lists).select("query_id", F.inline("top")).select("query_id", (-F.col("far")).alias("score"), "vec_id").groupBy("query_id").agg(lists)
     return best.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.far")).alias("score"))
