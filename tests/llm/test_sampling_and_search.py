@@ -59,6 +59,65 @@ def test_splitting_tree_is_exact_and_disjoint():
     assert whole == parts and max(map(sum, whole.values())) - min(map(sum, whole.values())) <= 1
 
 
+def test_urn_with_given_sizes():
+    """Each shard gets its size, each colour's draws go to shards once, and the shares are hypergeometric on average."""
+    counts, sizes = np.array([40, 0, 100, 1]), np.array([30, 1, 0, 60, 50])
+    share = 0
+    for seed in range(300):
+        got, size = defaultdict(list), np.zeros(5, int)
+        for at, colours, begin, c in mixing.dealt_out(counts, sizes, (seed,)):
+            size[at] += c.sum()
+            share += int(c[colours == 0].sum()) if at == 0 else 0
+            for k, b, n in zip(colours, begin, c):
+                got[k] += range(b, b + n)
+        assert (size == sizes).all() and all(sorted(got[k]) == list(range(counts[k])) for k in got)
+    assert abs(share / 300 - 30 * 40 / 141) < 0.5
+
+
+def test_mix_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b c", "s", k, "x") for k in range(500)] + [(k, f"text {k}", "t", k, "y") for k in range(100)] + [(None, None, None, 0, "z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _turn int, _x string").repartition(3)
+    plan = mixing.plan(docs, shard_words=300).collect()
+    mixed = mixing.mix(docs, shard_words=300).collect()
+    assert len(plan) == len(rows) and len(mixed) == sum(len(r.shards) for r in plan)
+    per = defaultdict(int)
+    for r in mixed:
+        per[r.source, r._turn] += 1
+    assert max(per.values()) <= 3 * 2 and len([k for k in per if k[0] == "s"]) > 400  # every repeated row has its own copies
+    shards = defaultdict(int)
+    for r in plan:
+        for s in r.shards:
+            shards[s] += r.size
+    assert len(shards) == -(-sum(shards.values()) // 300) or len(shards) > 3
+
+
+def test_mix_query(spark, sf):
+    from loomwright.llm.queries import QUERIES
+
+    rows = QUERIES["op6_mixing"](spark, sf).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        assert r.size == len((docs[r.doc_id].text or "").split()) or "\x1c" <= "".join(docs[r.doc_id].text) <= "\uffff"
+        sizes[docs[r.doc_id].source] += r.size
+        taken[docs[r.doc_id].source] += r.taken
+        assert r.taken in (0, r.size, 2 * r.size)
+    want = water(sizes)
+    largest = max(r.size for r in rows)
+    assert len(rows) == len(docs) and all(abs(taken[s] - want[s]) <= largest / 2 + 1 for s in want)
+
+
+def test_numbered_by_ranges(spark):
+    from loomwright.llm.base import numbered
+
+    rows = [(g, (i * 7) % 13, i % 5) for g in ("a", "b", None) for i in range(200)]
+    got = numbered(spark.createDataFrame(rows, "g string, o int, v int").repartition(7), "g", F.col("o").desc(), F.col("v"), sums={"total": "v"}).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(200)) and [(r.o, r.v) for r in mine] == sorted(((o, v) for _, o, v in rows[:200]), key=lambda x: (-x[0], x[1]))
+        assert [r.total for r in mine] == list(np.cumsum([r.v for r in mine]))
+
+
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.plan(none).count() == mixing.mix(none).count() == 0
@@ -90,6 +149,17 @@ def test_nearest(spark, factor):
     assert vptree.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 50, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=5, factor=1.0, shard=40, queries=2).collect()
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        pairs = sorted((-sum(a * b for a, b in zip(v, x)), j) for i, v in rows if i == q and any(v) for j, x in rows if j != q and any(x))
+        want += [(q, r + 1, j, -d) for r, (d, j) in enumerate(pairs[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_recall_of_the_registered_factor(spark, sf):
     v = spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet")
     got = {(r.query_id, r.vec_id) for r in vptree.nearest(v, lambda i: i % 20 == 0).collect()}

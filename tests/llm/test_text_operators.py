@@ -98,16 +98,65 @@ def test_binary_output_round_trip(spark, docs):
             assert (repair_binary.read_document(row, k) == d).all()
 
 
-def test_repair_compresses_and_expands():
+@pytest.mark.parametrize("least", [2, 16])
+def test_repair_compresses_and_expands(least):
     rng = np.random.default_rng(1)
-    ids = np.tile(rng.integers(0, 50, 40), 60).astype(np.uint32)
-    last = np.zeros(len(ids), bool)
-    last[99::100] = last[-1] = True
-    symbols, ends, rules = repair_binary.repair(ids, last, 50, rounds=6, least=2)
-    assert len(symbols) < len(ids) / 4 and (repair_binary.expand(symbols, rules, 50) == ids).all()
-    lengths = repair_binary.rule_lengths(rules, 50)
-    assert all(len(repair_binary.expand(np.array([50 + k]), rules, 50)) == n for k, n in enumerate(lengths))
-    assert ends.sum() == last.sum()
+    cases = [np.tile(rng.integers(0, 50, 40), 60), rng.integers(0, 3, 5000), np.zeros(3001, int), np.arange(50), np.array([7]), np.concatenate([rng.integers(0, 50, 30), np.tile([1, 2, 1], 300)])]
+    for ids in (c.astype(np.uint32) for c in cases):
+        last = np.zeros(len(ids), bool)
+        last[99::100] = last[-1] = True
+        symbols, ends, rules = repair_binary.repair(ids, last, 50, least=least)
+        assert (repair_binary.expand(symbols, rules, 50) == ids).all() and ends.sum() == last.sum()
+        counts = Counter((a, b) for a, b, e in zip(symbols.tolist(), symbols[1:].tolist(), ends) if not e)
+        assert max(counts.values(), default=0) < least  # it ends only when no pair is frequent
+        lengths = repair_binary.rule_lengths(rules, 50)
+        assert all(len(repair_binary.expand(np.array([50 + k]), rules, 50)) == n for k, n in enumerate(lengths))
+        row = repair_binary.shard_row(0, 0, 0, list(range(int(last.sum()))), ids, np.flatnonzero(last) + 1, 50)
+        for start, count in ((0, 1), (5, 17), (99, 2), (len(ids) - 1, 9), (len(ids), 3), (0, len(ids))):
+            assert repair_binary.read_ids_at(row, start, count).tolist() == ids[start : start + count].tolist()
+    assert len(repair_binary.repair(cases[0].astype(np.uint32), np.arange(2400) % 100 == 99, 50, least=2)[0]) < 2400 / 4
+
+
+def test_every_code_point_as_the_library_has_it():
+    """Letters that Python's tables don't know, and a sample of all planes, alone and between neighbours."""
+    import unicodedata
+
+    import regex
+
+    lib, c = Tokenizer.from_file(WORD_BPE), bpe_automaton.codec(open(WORD_BPE, "rb").read())
+    rng = np.random.default_rng(8)
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    odd = [p for p in points if unicodedata.category(chr(p)) == "Cn" and regex.match(r"[\p{L}\p{N}\p{M}]", chr(p))]
+    some = [*rng.choice(odd, min(2500, len(odd)), replace=False), 0x1C89, 0xA7CB, 0xA7CC, 0x10D50, 0xAB6D, 0x18D19, *rng.choice(points, 4000, replace=False), *range(0x300, 0x370), *rng.choice(0x20000, 3000)]
+    some = [chr(p) for p in some if not 0xD800 <= p < 0xE000]
+    texts = ["".join(some[i : i + 4]) for i in range(0, len(some), 4)] + [f"a{x}b 1{x}' {x}" for x in some]
+    counter = token_fst.counter(open(WORD_BPE, "rb").read())
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        n, ids = c.encode(t)
+        assert list(struct.unpack(f"<{n}I", ids)) == e.ids, ascii(t)
+        assert counter.count(t) == n and c.decode(ids) == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_queries_of_tokens_against_the_library(spark, sf):
+    """op5, op8 and op9 as registered, over their whole table."""
+    from loomwright.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    words, bytes_ = Tokenizer.from_file(WORD_BPE), Tokenizer.from_file(BYTE_BPE)
+    op5 = {r.doc_id: r for r in QUERIES["op5_token_counts"](spark, sf).collect()}
+    op8 = {r.doc_id: r for r in QUERIES["op8_binary_output"](spark, sf).collect()}
+    op9 = {r.doc_id: r for r in QUERIES["op9_bpe"](spark, sf).collect()}
+    assert len(rows) == len(op5) == len(op8) == len(op9)
+    at = 0
+    for r in rows:
+        t = r.text or ""
+        ids = words.encode(t, add_special_tokens=False).ids
+        assert (op5[r.doc_id].n_bytes, op5[r.doc_id].n_tokens, op5[r.doc_id].over_limit) == (len(t.encode()), len(ids), len(ids) > 2048)
+        raw, text = np.array(ids, "<u4").tobytes(), words.decode(ids, skip_special_tokens=False)
+        assert (op9[r.doc_id].n_tokens, op9[r.doc_id].ids_sha256, op9[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        raw = np.array(bytes_.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()
+        assert (op8[r.doc_id].start, op8[r.doc_id].n_tokens, op8[r.doc_id].ids_crc32) == (at, len(raw) // 4, zlib.crc32(raw))
+        at += len(raw) // 4
 
 
 def brute_counts(t):
@@ -135,7 +184,7 @@ def test_binomial_tail_and_cutoffs(spark):
         assert got == pytest.approx(want, rel=1e-9)
     # 1,000 good documents in one stratum: 2 have 30 symbols a thousand, the rest none; 20 in another can prove nothing
     rows = [("en", 100, 1000, 30 if i < 2 else 0, 0, 10, 0, 0) for i in range(1000)] + [(None, 100, 1000, 0, 0, 10, 0, 0)] * 20
-    cut = {r.stratum: r for r in quality_rules.select_cutoffs(spark.createDataFrame(rows, "lang string, n_words long, word_chars long, n_symbols long, n_capitals long, n_lines long, n_dup_lines long, n_repeat_words long"), "lang").collect()}
+    cut = {r.stratum: r for r in quality_rules.select_cutoffs(spark.createDataFrame(rows, "lang string, n_words long, word_chars long, n_symbols long, n_capitals long, n_lines long, n_dup_lines long, n_repeat_words long"), "lang", risk=0.04).collect()}
     assert cut["en"].c_symbols == 5 and cut["en"].c_repeats == 5 and cut[None].c_symbols is None
 
 
@@ -239,6 +288,45 @@ def test_near_duplicates_of_short_texts(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_query(spark, sf):
+    from loomwright.llm.queries import QUERIES
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_classes([(i, t) for i, t in rows if (t or "").split()])
+    got = QUERIES["op3_near_dedup"](spark, sf).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: want.get(i, i) for i, _ in rows} and len(got) == len(rows)
+
+
+def test_near_duplicates_of_edited_copies_and_shared_passages(spark):
+    """A family of copies with up to 40 edits around the limit, and texts that share only a passage, a line or both."""
+    rng = np.random.default_rng(17)
+    base, passage, line = [f"b{i}" for i in range(150)], [f"p{i}" for i in range(60)], [f"l{i}" for i in range(12)]
+    rows = []
+    for k in range(220):
+        t = list(base)
+        for i in rng.choice(150, int(rng.integers(0, 1 + k % 41)), replace=False):
+            t[i] = f"e{rng.integers(50)}"
+        rows.append((k, " ".join(t)))
+    for k in range(220, 400):
+        rows.append((k, " ".join([f"x{k}y{i}" for i in range(30)] + passage[: 60 if k % 2 else 20] + (line if k % 3 else []) + [f"z{k}y{i}" for i in range(10 * (k % 5))])))
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute_classes(rows)
+
+
+def test_prefixes_hold_what_similar_texts_share(spark):
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(60, n, replace=False).tolist() for n in rng.integers(1, 40, 80)]
+    sets += [s[: max(1, round(len(s) * 0.85))] + [100 + i] for i, s in enumerate(sets)]
+    opened = spark.createDataFrame([(i, i, "", s) for i, s in enumerate(sets)], "rep long, id long, text string, s array<long>")
+    got = {}
+    for r in order_minhash.prefixes(opened).collect():
+        got.setdefault(r.rep, set()).add(r.bucket)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len({*a} & {*b}) >= 0.8 * len({*a} | {*b}):
+                assert got[i] & got[j]
+
+
 def test_near_duplicates_of_cut_copies(spark):
     """Copies that are cut short to exactly 0.8, whose sketches agree least often of all such pairs."""
     rows = []
@@ -318,6 +406,68 @@ def test_perspectives_of_long_conversations(spark):
         assert sum(p.n_trained for p in parts) == sum(e - b for b, e in spans)
 
 
+def test_quality_rules_with_clashing_names(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", 1, 2, 3, 4, 5), (2, None, None, 1, 2, 3, 4, 5), (2, "## " * 80, "en", 1, 2, 3, 4, 5)], "doc_id long, text string, lang string, stratum int, c_symbols int, _stratum int, label int, at int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rows = quality_rules.judge(docs, labels).orderBy("n_words").collect()
+    assert [(r.stratum, r.c_symbols, r._stratum, r.label, r["at"]) for r in rows] == [(1, 2, 3, 4, 5)] * 3 and [r.kept for r in rows] == [False, True, False]
+
+
+def test_cutoffs_count_each_text_once(spark):
+    """3,000 copies of one good text are one trial: no cutoff can be safe; 3,000 texts are enough for one."""
+    body = " ".join(f"w{i}" for i in range(60))
+    labels = spark.range(3000).selectExpr("id doc_id", "1 quality")
+    bad = spark.createDataFrame([(-1, body + " " + "# " * 40, "en")], "doc_id long, text string, lang string")
+    for texts, kept in ((F.lit(body), True), (F.concat(F.lit(body + " t"), F.col("id").cast("string")), False)):
+        docs = spark.range(3000).select(F.col("id").alias("doc_id"), texts.alias("text"), F.lit("en").alias("lang")).union(bad)
+        got = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+        assert got[-1] == kept and all(got[i] for i in range(3000))
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Which lines go: of each chunk that occurs again, all but the first occurrence."""
+    rng = np.random.default_rng(21)
+    passages = [[" ".join(f"p{k}w{i}v{j}" for j in range(int(rng.integers(2, 14)))) for i in range(int(rng.integers(1, 13)))] for k in range(12)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(int(rng.integers(1, 5))):
+            lines += [" ".join(f"d{d}n{rng.integers(10**6)}" for _ in range(int(rng.integers(0, 9)))) for _ in range(int(rng.integers(0, 6)))]
+            lines += passages[int(rng.integers(12))]
+        rows.append((d, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (104, LONG), (105, LONG)]
+    seen, gone = {}, {}
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        words, hashes = [len(x.split()) for x in lines], np.array([order_minhash.Shingler().hash(x) for x in lines], np.uint64)
+        spans, start = line_chunks.runs(words), 0
+        for end in line_chunks.cut(lines, hashes) if t and len(lines) >= line_chunks.LEAST_LINES else ():
+            if end - start >= line_chunks.LEAST_LINES and sum(n > 0 for n in words[start:end]) >= line_chunks.LEAST_LINES and sum(words[start:end]) >= line_chunks.LEAST_WORDS:
+                spans.add((start, end))
+            start = end
+        for a, b in sorted(spans):
+            body = "\n".join(lines[a:b])
+            first = seen.setdefault(body, (d, a))
+            if first != (d, a):
+                gone.setdefault(d, set()).update(range(max(a, first[1] + b - a) if first[0] == d else a, b))
+    want = {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in rows}
+    got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows) and gone
+    assert {r.doc_id: r.n_removed_lines for r in got} == {d: len(gone.get(d, ())) for d, _ in rows}
+
+
+def test_co_training_edge_cases(spark, sf):
+    """An empty table; rows that repeat an id; a very long text; ties."""
+    labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    assert cotraining.classify(docs.where("false"), labels).count() == 0
+    one = docs.where("doc_id < 400")
+    again = one.union(docs.where("doc_id = 3").crossJoin(spark.range(300)).drop("id")).union(spark.createDataFrame([(10**6, LONG, "en", "src0", len(LONG))], one.schema))
+    got = cotraining.classify(again, labels).toPandas()
+    assert len(got) == again.count() and got.groupby("doc_id").score.nunique().max() == 1 and got.score.between(0, 1).all()
+
+
 def test_co_training_held_out_accuracy(spark, sf):
     docs, labels = spark.read.parquet(sf.replace("0.001", "0.1") + "/documents.parquet"), spark.read.parquet(sf.replace("0.001", "0.1") + "/labels.parquet")
     test = labels.where("doc_id % 4 = 0")
