@@ -33,8 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class stays; of rows with one text, one, ids before null ids.
+    """One document of each class stays: that with the least id, ids before null ids; of rows with one text, one.
 
+    Rows are told apart by numbers of their own, so documents that share an id, or have none, are judged by their texts.
     Texts without words have no class: of such rows with one id and text one stays, and all without an id.
     """
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
@@ -42,15 +43,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = ["o.doc_id", "text", "o.lang", "o.source"]
     once = docs.where(worded).groupBy("text").agg(row).select(*kept)
     bare = docs.where(~worded & F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(row).select(*kept)
-    docs = stored(once.union(bare).union(docs.where(~worded & F.col("doc_id").isNull()).select("doc_id", "text", "lang", "source")), "once")
-    classes = order_minhash.near_duplicates(docs)
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return _columns(docs.join(gone, "doc_id", "left_anti"))
+    once = once.union(bare).union(docs.where(~worded & F.col("doc_id").isNull()).select("doc_id", "text", "lang", "source"))
+    once = stored(once.withColumn("row", F.monotonically_increasing_id()), "once")
+    classes = order_minhash.near_duplicates(once, key="row").select(F.col("doc_id").alias("row"), "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("digest"), "row")
+    first = once.select("row", rank.alias("rank")).join(classes, "row").groupBy("class_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return _columns(once.join(first, "row", "left_semi"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, dealt into its output shards."""
-    return _columns(mixing.mix(docs))
+    """A row for each copy that the mix takes; rows of one output shard are written together, in the shard's order."""
+    return _columns(mixing.mix(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
