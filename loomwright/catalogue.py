@@ -74,9 +74,21 @@ def table_stats(spark, sf_dir):
     return readers.table_stats({t: read(spark, sf_dir, t) for t in STAR})
 
 
-@query("SELECT * FROM (VALUES ('region','r_regionkey',0,'INT32',true,false),('region','r_name',1,'STRING',true,false),('nation','n_nationkey',0,'INT32',true,false),('nation','n_name',1,'STRING',true,false),('nation','n_regionkey',2,'INT32',true,false)) t(table_id, \"column\", ordinal, kind, nullable, repeated)")
+#: The tables' columns and their kinds, as they are given.
+COLUMNS = {
+    "region": "r_regionkey INT32, r_name STRING", "nation": "n_nationkey INT32, n_name STRING, n_regionkey INT32", "customer": "c_custkey INT64, c_name STRING, c_nationkey INT32, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey INT64, s_name STRING, s_nationkey INT32, s_acctbal DOUBLE", "part": "p_partkey INT64, p_name STRING, p_brand STRING, p_type STRING, p_size INT32, p_retailprice DOUBLE",
+    "orders": "o_orderkey INT64, o_custkey INT64, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority STRING",
+    "lineitem": "l_orderkey INT64, l_partkey INT64, l_suppkey INT64, l_linenumber INT32, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP",
+    "events": "event_id INT64, ts TIMESTAMP, user_id INT64, event_type STRING, value DOUBLE, props STRING", "documents": "doc_id INT64, text STRING, lang STRING, source STRING, n_chars INT64", "embeddings": "vec_id INT64, embedding FLOAT[], label INT32",
+    "pages": "page_id INT64, url STRING, html STRING", "benchmark": "item_id INT64, text STRING", "labels": "doc_id INT64, quality INT32, toxic INT32", "conversations": "conv_id INT64, turn INT64, role STRING, text STRING",
+}
+COLUMN_ROWS = ", ".join(f"('{t}', '{c.split()[0]}', {i}, '{c.split()[1].removesuffix('[]')}', true, {str(c.endswith('[]')).lower()})" for t, cs in COLUMNS.items() for i, c in enumerate(cs.split(", ")))
+
+
+@query(f"SELECT * FROM (VALUES {COLUMN_ROWS}) t(table_id, \"column\", ordinal, kind, nullable, repeated)")
 def catalog_columns(spark, sf_dir):
-    return readers.describe(spark, {t: read(spark, sf_dir, t) for t in ("region", "nation")}).drop("native")
+    return readers.describe(spark, {t: read(spark, sf_dir, t) for t in COLUMNS}).drop("native")
 
 
 # where inputs
@@ -416,18 +428,17 @@ def cel_encoders(spark, sf_dir):
     return with_cel(read(spark, sf_dir, "part"), ["p_partkey"], e="base64.encode(bytes(p_brand))", d="string(base64.decode(base64.encode(bytes(p_brand))))")
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) AS path, true AS ok FROM pages WHERE url IS NOT NULL")
+@query(r"SELECT page_id, coalesce(regexp_extract(url, '^([a-z]+)://', 1), '') AS scheme, coalesce(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1), '') AS host, coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '') AS path, url IS NOT NULL AS ok FROM pages")
 def cel_url(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").where("url IS NOT NULL")
-    return with_cel(p, ["page_id"], scheme="url(url).getScheme()", host="url(url).getHostname()", path="url(url).getEscapedPath()", ok="isURL(url)")
+    return with_cel(read(spark, sf_dir, "pages"), ["page_id"], scheme="url(url).getScheme()", host="url(url).getHostname()", path="url(url).getEscapedPath()", ok="isURL(url)")
 
 
 # functions
 
 
-@query("SELECT p_partkey, lower(replace(p_type, ' ', '_')) AS snake, lower(replace(p_type, ' ', '-')) AS slug FROM part WHERE regexp_full_match(p_type, '[A-Z]+( [A-Z]+)*')")
+@query("SELECT p_partkey, lower(replace(p_type, ' ', '_')) AS snake, lower(replace(p_type, ' ', '-')) AS slug FROM part")
 def text_case_slug(spark, sf_dir):
-    return read(spark, sf_dir, "part").where(F.col("p_type").rlike("^[A-Z]+( [A-Z]+)*$")).select("p_partkey", text.snake(F.col("p_type")).alias("snake"), text.slugify(F.col("p_type")).alias("slug"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.snake(F.col("p_type")).alias("snake"), text.slugify(F.col("p_type")).alias("slug"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS tidy FROM documents")
@@ -447,14 +458,18 @@ def text_resource_name(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", text.name_parent(n).alias("parent"), text.name_short(n).alias("short"))
 
 
-@query("SELECT doc_id, 'SHA256:' || sha256(text) AS h, substr(sha256(text), 1, 12) AS short FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, 'SHA256:' || sha256(text) AS h, substr(sha256(text), 1, 12) AS short FROM documents")
 def hash_sha256(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.sha256(F.col("text")).alias("h"), text.sha256_short(F.col("text")).alias("short"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.sha256(F.col("text")).alias("h"), text.sha256_short(F.col("text")).alias("short"))
+
+
+#: FNV-1a in whole numbers: the offset basis, then (h xor byte) * prime modulo 2^64 for each byte (names are ASCII).
+FNV = "list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(string_split(p_name, ''), lambda c: ord(c)::UBIGINT)), lambda a, b: ((xor(a, b)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT)"
 
 
-@query()
+@query(f"SELECT p_partkey, format('{{:x}}', {FNV}) AS h, substr(format('{{:x}}', {FNV}), 1, 12) AS short FROM part")
 def hash_fnv1a(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", text.fnv1a(F.col("p_name")).alias("h"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.fnv1a(F.col("p_name")).alias("h"), text.fnv1a_short(F.col("p_name")).alias("short"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -482,21 +497,24 @@ def duration_add(spark, sf_dir):
     return e.select("event_id", F.date_format(cel(e, "ts + duration('4h35m')"), "yyyy-MM-dd HH:mm:ss").alias("later"))
 
 
-@query("SELECT * FROM (VALUES ('1s', 1000000), ('2.5h', 9000000000), ('4h35m', 16500000000), ('', 0), ('-90s', -90000000)) t(d, micros)")
+@query("SELECT event_id, (event_id % 7) * 3600000000 + (user_id % 60) * 60000000 + CAST((event_id % 100) * 250000 AS BIGINT) AS micros, -(event_id % 5) * 1000000 AS back FROM events")
 def duration_parse(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d in ("1s", "2.5h", "4h35m", "", "-90s")], "d string").select("d", duration_micros(F.col("d")).alias("micros"))
+    part = lambda c, unit: F.concat(c.cast("string"), F.lit(unit))
+    forth = F.concat(part(F.col("event_id") % 7, "h"), part(F.col("user_id") % 60, "m"), part((F.col("event_id") % 100) / 4, "s"))
+    return read(spark, sf_dir, "events").select("event_id", duration_micros(forth).alias("micros"), duration_micros(F.concat(F.lit("-"), part(F.col("event_id") % 5, "s"))).alias("back"))
 
 
-@query("SELECT doc_id, CAST(unnest(generate_series(0, len(string_split(text, '\n')) - 1)) AS INT) AS pos, unnest(string_split(text, '\n')) AS token FROM documents WHERE text IS NOT NULL AND NOT ends_with(text, '\n')")
+@query("""SELECT doc_id, CAST(unnest(generate_series(0, len(parts) - 1)) AS INT) AS pos, unnest(parts) AS token
+    FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM (SELECT doc_id, string_split(text, '\n') AS parts FROM documents WHERE text IS NOT NULL)) WHERE len(parts) > 0""")
 def blob_split_lines(spark, sf_dir):
-    return readers.split_delimited(read(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT endswith(text, '\n')"), "text", "\n").select("doc_id", "pos", "token")
+    return readers.split_delimited(read(spark, sf_dir, "documents"), "text", "\n").select("doc_id", "pos", "token")
 
 
-@query("SELECT p_name AS value FROM part WHERE octet_length(CAST(p_name AS BLOB)) <= 20")
+@query("SELECT p_name AS value FROM part")
 def blob_lines_raw(spark, sf_dir):
     path = shared_path(spark, "lines")
     read(spark, sf_dir, "part").select(F.col("p_name").alias("value")).write.option("lineSep", "|").text(path)
-    return readers.blob_lines(spark, path, "|", 20)
+    return readers.blob_lines(spark, path, "|", 10_000)
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -546,9 +564,20 @@ def geo_bbox_center(spark, sf_dir):
     return boxes(spark, sf_dir).select("s_suppkey", F.col("box")[0].alias("x0"), F.col("box")[3].alias("y1"), c["lon"].alias("lon"), c["lat"].alias("lat"))
 
 
-@query()
+def interleaved(bits: int) -> list[str]:
+    """SQL of the bits of a geohash of (x, y), the first from the longitude."""
+    nx, ny = (bits + 1) // 2, bits // 2
+    x, y = f"(floor((x + 180) / 360 * {1 << nx})::BIGINT)", f"(floor((y + 90) / 180 * {1 << ny})::BIGINT)"
+    return [f"(({x if b % 2 == 0 else y} >> {(nx if b % 2 == 0 else ny) - 1 - b // 2}) & 1)" for b in range(bits)]
+
+
+GEOHASH = " || ".join("substr('0123456789bcdefghjkmnpqrstuvwxyz', 1 + " + " + ".join(f"{16 >> j} * {interleaved(60)[5 * k + j]}" for j in range(5)) + ", 1)" for k in range(12))
+GEONUMBER = " + ".join(f"{b}::HUGEINT * {1 << (63 - i)}::HUGEINT" for i, b in enumerate(interleaved(64)))
+
+
+@query(f"SELECT s_suppkey, {GEOHASH} AS hash, CAST({GEONUMBER} AS VARCHAR) AS number FROM {BOX_SQL}")
 def geo_hash(spark, sf_dir):
-    return boxes(spark, sf_dir).select("s_suppkey", geo.geohash(F.col("y"), F.col("x")).alias("hash"), geo.geohash_uint64(F.col("y"), F.col("x")).alias("number"))
+    return boxes(spark, sf_dir).select("s_suppkey", geo.geohash(F.col("y"), F.col("x")).alias("hash"), geo.geohash_uint64(F.col("y"), F.col("x")).cast("string").alias("number"))
 
 
 @query(f"SELECT s_suppkey, x AS x0, y AS y0, x + 2 AS x1, y + 2 AS y1 FROM {BOX_SQL}")

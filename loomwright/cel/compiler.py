@@ -21,8 +21,12 @@ ANY = T.NullType()
 
 @dataclass
 class Value:
+    """A Column, its static type, the names of its enum (number -> name), and whether a stream is at its end."""
+
     col: Column
     type: T.DataType
+    enum: dict | None = None
+    eof: Column | None = None
 
 
 def number(t: T.DataType) -> bool:
@@ -42,13 +46,21 @@ GETTERS = {
 UNITS = {"h": 3600, "m": 60, "s": 1, "ms": 1e-3, "us": 1e-6, "ns": 1e-9}
 
 
+#: Texts of durations; an empty text and 0 are durations too.
+DURATION = r"^[-+]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:h|ms|us|ns|m|s))+$"
+
+
+def is_duration(text: Column) -> Column:
+    return F.trim(text).rlike(DURATION) | F.trim(text).isin("", "0")
+
+
 def duration_micros(text: Column) -> Column:
     """Microseconds of a duration text; an empty text is 0, a bad one an error."""
     parts = F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d*)?|\.\d+)(?:h|ms|us|ns|m|s)"), F.lit(1))
     units = F.regexp_extract_all(text, F.lit(r"(?:\d+(?:\.\d*)?|\.\d+)(h|ms|us|ns|m|s)"), F.lit(1))
     scale = F.create_map(*[x for u, s in UNITS.items() for x in (F.lit(u), F.lit(float(s) * 1e6))])
     total = F.aggregate(F.zip_with(parts, units, lambda p, u: p.cast("double") * F.element_at(scale, u)), F.lit(0.0), lambda a, x: a + x)
-    ok = F.trim(text).rlike(r"^[-+]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:h|ms|us|ns|m|s))+$") | F.trim(text).isin("", "0")
+    ok = is_duration(text)
     sign = F.when(F.trim(text).startswith("-"), -1.0).otherwise(1.0)
     return F.when(ok, F.round(sign * total).cast("long")).otherwise(F.raise_error(F.concat(F.lit("bad duration: "), text)).cast("long"))
 
@@ -90,7 +102,7 @@ class Compiler:
         v = self.visit(a)
         if isinstance(v.type, T.StructType):
             real = self.field_name(v.type, name)
-            return Value(v.col.getField(real), v.type[real].dataType)
+            return Value(v.col.getField(real), v.type[real].dataType, v.type[real].metadata.get("enum"))
         if isinstance(v.type, T.MapType):
             return self.key(v, F.lit(name))
         raise CelError(f"no field {name!r} in {v.type.simpleString()}")
@@ -235,6 +247,14 @@ class Compiler:
             return self.macro(self.visit(target), name, args)
         if name == "format" and target is not None and args and args[0][0] == "list":
             return self.formatted(target, args[0][1])
+        if name == "flatten" and target is not None:
+            if args and args[0][0] != "lit":
+                raise CelError("flatten needs a literal depth")
+            return self._call_flatten(self.visit(target), args[0][1] if args else 1)
+        if name == "enumName" and target is None and len(args) in (1, 2):
+            if len(args) == 2 and args[1][0] != "lit":
+                raise CelError("enumName needs a literal flag")
+            return self.enum_name(self.visit(args[0]), bool(args[1][1]) if len(args) == 2 else False)
         vs = [self.visit(a) for a in ([target] if target is not None else []) + list(args)]
         f = getattr(self, f"f_{name}", None)
         if f is not None:
@@ -282,7 +302,7 @@ class Compiler:
     f_endsWith = lambda self, s, x: Value(s.col.endswith(x.col), T.BooleanType())
     f_matches = lambda self, s, x: Value(F.regexp_like(s.col, x.col), T.BooleanType())
     f_dyn = lambda self, v: v
-    f_type = lambda self, v: Value(F.lit(v.type.simpleString()), T.StringType())
+    f_type = lambda self, v: Value(F.lit(type_name(v.type)), T.StringType())
 
     def f_int(self, v):
         if isinstance(v.type, (T.TimestampType, T.TimestampNTZType)):
@@ -314,7 +334,9 @@ class Compiler:
         start = F.lit(1) if at is None else (at.col + 1).cast("int")
         return Value(F.call_function("locate", x.col, s.col, start).cast("long") - 1, T.LongType())
 
-    def f_lastIndexOf(self, s, x):
+    def f_lastIndexOf(self, s, x, upto=None):
+        if upto is not None:  # occurrences that start at upto or before
+            s = Value(F.substring(s.col, F.lit(1), (upto.col + F.length(x.col)).cast("int")), s.type)
         at = F.call_function("locate", F.reverse(x.col), F.reverse(s.col))
         return Value(F.when(at == 0, F.lit(-1)).otherwise(F.length(s.col) - at - F.length(x.col) + 1).cast("long"), T.LongType())
 
@@ -358,8 +380,19 @@ class Compiler:
     def f_slice(self, l, a, b):
         return Value(F.slice(l.col, (a.col + 1).cast("int"), (b.col - a.col).cast("int")), l.type)
 
-    def f_flatten(self, l, depth=None):
-        return Value(F.flatten(l.col), l.type.elementType if isinstance(l.type.elementType, T.ArrayType) else l.type)
+    def _call_flatten(self, v: Value, depth: int) -> Value:
+        while depth and isinstance(v.type.elementType, T.ArrayType):
+            v, depth = Value(F.flatten(v.col), v.type.elementType), depth - 1
+        return v
+
+    def enum_name(self, v: Value, trim: bool) -> Value:
+        """An enum's name by its number; unknown numbers give an empty text. The prefix is the name of 0 without UNSPECIFIED."""
+        if v.enum is None:
+            raise CelError("no matching overload for enumName")
+        names = {int(k): n for k, n in v.enum.items()}
+        prefix = names.get(0, "").removesuffix("UNSPECIFIED") if trim else ""
+        table = F.create_map(*[x for k, n in names.items() for x in (F.lit(k).cast("long"), F.lit(n.removeprefix(prefix)))])
+        return Value(F.coalesce(F.try_element_at(table, v.col.cast("long")), F.lit("")), T.StringType())
 
     f_distinct = lambda self, l: Value(F.array_distinct(l.col), l.type)
     f_sort = lambda self, l: Value(F.array_sort(l.col), l.type)
@@ -383,6 +416,8 @@ class Compiler:
         return Value(F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == k), lambda p: F.split_part(p, F.lit("="), F.lit(2))))), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 
     def f_isEOF(self, v):
+        if v.eof is not None:
+            return Value(v.eof, T.BooleanType())
         return Value(v.col["type"].eqNullSafe(F.lit("EOF")) if isinstance(v.type, T.StructType) and "type" in v.type.names else F.lit(False), T.BooleanType())
 
 
@@ -390,8 +425,17 @@ def interval_micros(c: Column) -> Column:
     return F.call_function("div", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz") + c), F.lit(1).cast("long"))
 
 
+def type_name(t: T.DataType) -> str:
+    """CEL's name of a type."""
+    if number(t):
+        return "double" if floating(t) else "uint" if isinstance(t, T.DecimalType) else "int"
+    names = {"string": "string", "boolean": "bool", "binary": "bytes", "void": "null_type", "timestamp": "google.protobuf.Timestamp", "timestamp_ntz": "google.protobuf.Timestamp"}
+    return "list" if isinstance(t, T.ArrayType) else "map" if isinstance(t, (T.MapType, T.StructType)) else "google.protobuf.Duration" if isinstance(t, T.DayTimeIntervalType) else names.get(t.simpleString(), t.simpleString())
+
+
 def names_of(schema: T.StructType) -> dict[str, Value]:
-    return {f.name: Value(F.col(f"`{f.name}`"), T.LongType() if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else f.dataType) for f in schema.fields}
+    """The columns as variables. A field's metadata may hold the names of its enum: ``{"enum": {"0": "KIND_UNSPECIFIED", ...}}``."""
+    return {f.name: Value(F.col(f"`{f.name}`"), T.LongType() if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else f.dataType, f.metadata.get("enum")) for f in schema.fields}
 
 
 def cel(df, text: str) -> Column:

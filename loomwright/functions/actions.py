@@ -58,6 +58,17 @@ class Registry:
         return F.when(cast.isNotNull() & constraint(cast, a.input), a.run(cast).cast(from_json_schema(a.output))).otherwise(on_error)
 
 
+def aggregate(function: Callable, kind: str) -> Callable:
+    """A user aggregate: a function of pandas Series to one value, for ``groupBy().agg`` and windows; a group is one call."""
+    import pandas as pd
+
+    def run(values):
+        return function(values)
+
+    run.__annotations__ = {"values": pd.Series, "return": float if kind == "double" else int if kind in ("long", "bigint", "int") else str}
+    return F.pandas_udf(run, kind)
+
+
 def register_sql(spark: SparkSession, name: str, function) -> None:
     """A pandas function for SQL."""
     spark.udf.register(name, function)

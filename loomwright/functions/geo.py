@@ -48,6 +48,62 @@ def point_within(x: Column, y: Column, x0: float, y0: float, x1: float, y1: floa
     return x.between(x0, x1) & y.between(y0, y1)
 
 
+def within(box: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """The box lies within the bounds, which is what ``covers`` says of the bounds."""
+    return covers(box, x0, y0, x1, y1)
+
+
+#: How bounds are meant: a feature lies in them, touches them, or holds them.
+BOUNDS = {"WITHIN": within, "INTERSECTS": intersects, "COVERS": lambda box, x0, y0, x1, y1: (box[0] <= x0) & (box[1] <= y0) & (box[2] >= x1) & (box[3] >= y1)}
+
+
+def in_bounds(geometry: Column, kind: str, x0: float, y0: float, x1: float, y1: float, centroid: bool = False) -> Column:
+    """A geometry's box against bounds; with centroid, the centre of its box instead. Geometries without positions are outside."""
+    box = bbox(geometry)
+    if centroid:
+        c = center(box)
+        box = F.array(c["lon"], c["lat"], c["lon"], c["lat"])
+    return F.coalesce(BOUNDS[kind](box, x0, y0, x1, y1), F.lit(False))
+
+
+def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a polygon's ring: an odd number of its edges cross the ray to the right."""
+    crossed = F.lit(0)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if ay != by:
+            crossed = crossed + (((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (y - ay) * ((bx - ax) / (by - ay)) + ax)).cast("int")
+    return crossed % 2 == 1
+
+
+def within_ring(geometry: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether all positions of a geometry lie in a ring (exact for points, and for any geometry if the ring is convex)."""
+    of = lambda c: F.coalesce(positions(c), F.array().cast("array<array<double>>"))
+    every = F.concat(of(geometry["coordinates"]), F.coalesce(F.flatten(F.transform(geometry["geometries"], lambda g: of(g["coordinates"]))), F.array().cast("array<array<double>>")))
+    return (F.size(every) > 0) & F.forall(every, lambda p: in_ring(p[0], p[1], ring))
+
+
+def property_kind(t: T.DataType) -> str | None:
+    """The kind of a property by its column's type; whole numbers, lists and messages have none."""
+    if isinstance(t, T.StringType):
+        return "STRING"
+    if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "NUMBER"
+    return "BOOLEAN" if isinstance(t, T.BooleanType) else None
+
+
+def scan(df, geo_field: str, prop_fields: list[str], bounds: tuple | None = None, id_field: str | None = None):
+    """``value``: a Feature for each row that lies in the bounds (kind, x0, y0, x1, y1[, centroid]); GeoJSON texts in geo_field."""
+    if bounds is not None:
+        df = df.where(in_bounds(parse_geometry(F.col(geo_field)), *bounds))
+    props = F.struct(*[F.col(f"`{c}`") for c in prop_fields]) if prop_fields else F.create_map().cast("map<string,string>")
+    return df.select(feature(F.col(geo_field), props, F.col(id_field).cast("string") if id_field else F.lit(None).cast("string")).alias("value"))
+
+
+def sources(tables: dict) -> list[tuple[str, str, str]]:
+    """(table, column, kind) of the columns whose metadata names a geo type."""
+    return [(t, f.name, f.metadata["geo_type"]) for t, df in sorted(tables.items()) for f in df.schema.fields if "geo_type" in f.metadata]
+
+
 def geohash_uint64(lat: Column, lon: Column) -> Column:
     """The 64-bit interleaved hash as decimal(20,0): longitude bits first."""
     high = _interleave(F.floor((lon + 180) / 360 * (1 << 32)), F.floor((lat + 90) / 180 * (1 << 32)), 31, 16)
@@ -81,10 +137,31 @@ def geohash(lat: Column, lon: Column, length: int = 12) -> Column:
     return F.concat(*chars)
 
 
-def feature(geometry: Column, properties: Column, id_: Column) -> Column:
-    """A GeoJSON Feature text; a numeric id other than 0 is a number, any other a text."""
-    number = F.when(F.coalesce(id_.cast("string").try_cast("bigint"), F.lit(0)) != 0, id_.cast("string")).otherwise(F.concat(F.lit('"'), id_.cast("string"), F.lit('"')))
-    return F.concat(F.lit('{"type":"Feature","id":'), number, F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+def feature(geometry: Column, properties: Column, id_: Column, box: Column | None = None) -> Column:
+    """A GeoJSON Feature text; a numeric id other than 0 is a number, any other a text, and a null id is left out, as is a null box."""
+    text = F.to_json(F.array(id_.cast("string")))
+    number = F.when(id_.cast("string").rlike("^-?[1-9][0-9]{0,18}$") & id_.cast("string").try_cast("bigint").isNotNull(), id_.cast("string")).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+    ident = F.coalesce(F.concat(F.lit(',"id":'), number), F.lit(""))
+    bounds = F.coalesce(F.concat(F.lit(',"bbox":'), F.to_json(box)), F.lit("")) if box is not None else F.lit("")
+    return F.concat(F.lit('{"type":"Feature"'), ident, bounds, F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+
+
+def parse_feature(text: Column) -> Column:
+    """``id_number, id_text`` (one of them, or none; a numeric text is a number, 0 is none), ``geometry, properties`` (JSON texts), ``bbox``."""
+    v = F.try_parse_json(text)
+    ident = F.try_variant_get(v, "$.id", "string")
+    number = F.nullif(ident.try_cast("bigint"), F.lit(0).cast("bigint"))
+    json_of = lambda path: F.nullif(F.to_json(F.try_variant_get(v, path, "variant")), F.lit("null"))
+    return F.when(
+        F.try_variant_get(v, "$.type", "string") == "Feature",
+        F.struct(number.alias("id_number"), F.when(ident.try_cast("bigint").isNull(), ident).alias("id_text"), json_of("$.geometry").alias("geometry"), json_of("$.properties").alias("properties"), F.try_variant_get(v, "$.bbox", "array<double>").alias("bbox")),
+    )
+
+
+def collection_features(text: Column) -> Column:
+    """The Feature texts of a FeatureCollection's text."""
+    v = F.try_parse_json(text)
+    return F.when(F.try_variant_get(v, "$.type", "string") == "FeatureCollection", F.transform(F.try_variant_get(v, "$.features", "array<variant>"), lambda f: F.to_json(f)))
 
 
 @F.pandas_udf(T.BinaryType())

@@ -171,6 +171,35 @@ def query(text: Column, program: str) -> Column:
     return F.when(v.isNotNull(), F.transform(f(v), lambda x: F.coalesce(F.to_json(x), F.lit("null"))))
 
 
+def exists(text: Column, program: str) -> Column:
+    """Whether a program gives a value that isn't null."""
+    return F.coalesce(F.exists(query(text, program), lambda x: x != "null"), F.lit(False))
+
+
+def equals(text: Column, program: str, wanted) -> Column:
+    """Whether a program's first value is the wanted one; false if it gives none."""
+    return F.coalesce(value(text, program) == F.to_json(F.parse_json(F.lit(json.dumps(wanted)))), F.lit(False)) if wanted is not None else F.coalesce(value(text, program) == "null", F.lit(False))
+
+
+def is_null(text: Column, program: str) -> Column:
+    return equals(text, program, None)
+
+
+def is_true(text: Column, program: str) -> Column:
+    return equals(text, program, True)
+
+
+def is_false(text: Column, program: str) -> Column:
+    return equals(text, program, False)
+
+
+def merge(left: Column, right: Column) -> Column:
+    """The JSON text of two objects' fields; the right one's win."""
+    kind = "map<string,variant>"
+    a, b = _as(F.try_parse_json(left), kind), _as(F.try_parse_json(right), kind)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
 def value(text: Column, program: str) -> Column:
     """The first value, null if there is none."""
     return F.get(query(text, program), 0)

@@ -50,16 +50,29 @@ class Page:
 
 
 def order_columns(order: list[tuple[str, bool]], flip: bool = False) -> list[Column]:
-    return [F.col(f"`{c}`").desc_nulls_last() if desc != flip else F.col(f"`{c}`").asc_nulls_last() for c, desc in order]
+    """Sort columns with nulls last; flipped, the reverse of that order, with nulls first."""
+    cols = [(F.col(f"`{c}`"), desc) for c, desc in order]
+    if flip:
+        return [c.asc_nulls_first() if desc else c.desc_nulls_first() for c, desc in cols]
+    return [c.desc_nulls_last() if desc else c.asc_nulls_last() for c, desc in cols]
 
 
 def beyond(order: list[tuple[str, bool]], values: list, flip: bool = False) -> Column:
-    """Rows strictly after the cursor: a chain of equal prefixes and one strict comparison, which scans can use."""
+    """Rows strictly after the cursor (flipped: before it): a chain of equal prefixes and one strict comparison, which scans can use.
+
+    Nulls come after all values, so a null is beyond every value, and nothing is beyond a null.
+    """
     out, same = F.lit(False), F.lit(True)
     for (c, desc), v in zip(order, values, strict=True):
         col = F.col(f"`{c}`")
-        out = out | (same & ((col < F.lit(v)) if desc != flip else (col > F.lit(v))))
-        same = same & (col == F.lit(v))
+        if v is None:
+            strict, equal = (col.isNotNull() if flip else F.lit(False)), col.isNull()
+        else:
+            less = col < F.lit(v)
+            strict, equal = (less if desc != flip else col > F.lit(v)), col == F.lit(v)
+            strict = strict if flip else strict | col.isNull()
+        out = out | (same & strict)
+        same = same & equal
     return out
 
 
@@ -83,6 +96,44 @@ def page(df: DataFrame, order: list[tuple[str, bool]], size: int | None = None,
     return Page(rows, encode_token([rows[-1][c] for c, _ in order]) if more else "", more, after is not None)
 
 
+@dataclass
+class Connection:
+    """Edges (a cursor and a row each), what lies around them, and the count of all rows."""
+
+    edges: list[tuple[str, object]]
+    has_next: bool
+    has_previous: bool
+    total_count: int
+
+    @property
+    def start_cursor(self) -> str:
+        return self.edges[0][0] if self.edges else ""
+
+    @property
+    def end_cursor(self) -> str:
+        return self.edges[-1][0] if self.edges else ""
+
+
+def connection(df: DataFrame, order: list[tuple[str, bool]], first: int | None = None, after: str = "", last: int | None = None, before: str = "") -> Connection:
+    """A page of edges after (first) or before (last) a cursor; one row more is asked for to know whether there are more."""
+    back, token = last is not None, before if last is not None else after
+    n = clamp(last if back else first)
+    found = df.where(beyond(order, decode_token(token), back)) if token else df
+    rows = found.orderBy(*order_columns(order, back)).limit(n + 1).collect()
+    more, rows = len(rows) > n, rows[:n]
+    rows = rows[::-1] if back else rows
+    edges = [(encode_token([r[c] for c, _ in order]), r) for r in rows]
+    return Connection(edges, bool(token) if back else more, more if back else bool(token), df.count())
+
+
+def uuid7_page(df: DataFrame, column: str, size: int | None = None, token: str = "") -> Page:
+    """A page by descending version 7 ids (text); the next token is the last id, and is given only if the page is full."""
+    n = clamp(size)
+    found = df.where(F.col(column) < F.lit(str(decode_uuid7(token)))) if token else df
+    rows = found.orderBy(F.col(column).desc_nulls_last()).limit(n).collect()
+    return Page(rows, encode_uuid7(uuid.UUID(rows[-1][column])) if len(rows) == n else "", len(rows) == n, bool(token))
+
+
 def numbered_page(df: DataFrame, order: list[tuple[str, bool]], size: int, number: int) -> DataFrame:
     """Page ``number`` (from 1) with ``total_rows`` and ``total_pages``.
 

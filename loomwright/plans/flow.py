@@ -140,6 +140,8 @@ class NodeCompiler(Compiler):
             return Value(F.struct(*[x.col.alias(k) for k, x in parts]), T.StructType([T.StructField(k, x.type) for k, x in parts]))
         if isinstance(v, list):
             parts = [self.template(x) for x in v]
+            if len({x.type.simpleString() for x in parts}) > 1:  # a list of several types is one of JSON values
+                return Value(F.array(*[F.try_variant_get(F.parse_json(F.to_json(F.array(x.col))), "$[0]", "variant") for x in parts]), T.ArrayType(T.VariantType()))
             return Value(F.array(*[x.col for x in parts]), T.ArrayType(parts[0].type if parts else T.StringType()))
         kind = "null" if v is None else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
         return self._lit(v, kind)
@@ -196,10 +198,12 @@ def run(flow: Flow | dict, df: DataFrame, seq: list[str], by: list[str] | None =
             else:
                 raise FlowError(f"outputs.{name} must be an expression")
             if n.get("cache"):
-                v = Value(F.first(v.col, ignorenulls=True).over(so_far), v.type)
+                v = Value(F.first(v.col, ignorenulls=True).over(so_far), v.type, v.enum)
             col = f"{kind}__{name}"
             df = df.withColumn(col, v.col)
-            values[key] = Value(F.col(col), v.type)
+            if v.eof is not None:
+                df = df.withColumn(f"{col}__eof", v.eof)
+            values[key] = Value(F.col(col), v.type, v.enum, F.col(f"{col}__eof") if v.eof is not None else None)
     return df.select(*(by or []), *seq, *(keep or []), *[values[k].col.alias(k[1]) for k in flow.nodes if k[0] == "outputs"])
 
 
@@ -226,6 +230,10 @@ def action(c: NodeCompiler, n: dict, actions: dict) -> Value:
         if name not in actions:
             raise FlowError(f"actions.{n['id']}: no action {name}")
         v = Value(*actions[name](v))
+    if n.get("response") is not None:  # an expression over the answer replaces it
+        old, c.names["response"] = c.names.get("response"), v
+        v = c.compile(source(n["response"]))
+        c.names = {k: x for k, x in c.names.items() if k != "response"} | ({"response": old} if old is not None else {})
     if n.get("on_error") is not None:
         c.safe -= 1
         v = Value(F.coalesce(v.col, c.template(n["on_error"]).col), v.type)
@@ -238,15 +246,23 @@ def action(c: NodeCompiler, n: dict, actions: dict) -> Value:
 
 
 def gated(c: NodeCompiler, n: dict, so_far) -> Value:
-    """A stream's value: null from the first true stop_if on, null before the first true start_if."""
+    """A stream's value: null before the first true start_if, and at its end from the first true stop_if on (``isEOF``, null)."""
     v = c.template(n.get("value"))
-    open_ = F.lit(True)
+    open_, ended = F.lit(True), F.lit(False)
     if n.get("stop_if") is not None:
-        open_ = open_ & ~F.coalesce(F.max(c.compile(source(n["stop_if"])).col).over(so_far), F.lit(False))
+        ended = F.coalesce(F.max(c.compile(source(n["stop_if"])).col).over(so_far), F.lit(False))
+        open_ = ~ended
     if n.get("start_if") is not None:
         stop = c.compile(source(n["stop_if"])).col if n.get("stop_if") is not None else F.lit(False)
         open_ = open_ & F.coalesce(F.max(c.compile(source(n["start_if"])).col & ~F.coalesce(stop, F.lit(False))).over(so_far), F.lit(False))
-    return Value(F.when(open_, v.col), v.type)
+    return Value(F.when(open_, v.col), v.type, v.enum, ended)
+
+
+def until_done(out: DataFrame, done: str, seq: list[str], by: list[str] | None = None) -> DataFrame:
+    """The iterations of a run, with the one whose output ``done`` is the first that isn't null as the last."""
+    before = Window.partitionBy(*(by or [])).orderBy(*seq).rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col(done).isNotNull()).over(before), F.lit(False))
+    return out.withColumn("__ended", ended).where(~F.col("__ended")).drop("__ended")
 
 
 def expression(df: DataFrame, text: str) -> Column:

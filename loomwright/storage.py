@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset, below a folder of this process."""
+    """A new path below ``spark.checkpoint.dir``; only where that is unset and the master is local, below a folder of this process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

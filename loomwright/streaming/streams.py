@@ -36,9 +36,16 @@ def drain_complete(stream: DataFrame, label: str = "stream") -> DataFrame:
     """As drain, for a complete-mode aggregate: the last batch replaces the ones before it."""
     spark = stream.sparkSession
     out, state = shared_path(spark, label), shared_path(spark, f"{label}-state")
-    q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    # a batch has a folder of its own: one that fails halfway leaves the result before it whole
+    done = []
+
+    def keep(df, n):
+        df.write.mode("overwrite").parquet(f"{out}/{n}")
+        done.append(n)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{out}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
 def ticker(spark: SparkSession, start: str, end: str, every: str, value: Column | None = None) -> DataFrame:
@@ -51,10 +58,57 @@ def ticker_stream(spark: SparkSession, per_second: int = 1) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
 
 
-def windowed_counts(events: DataFrame, ts: str, width: str, by: str, late: str = "10 minutes") -> DataFrame:
-    """Counts by tumbling event-time window with a watermark."""
+def windowed_counts(events: DataFrame, ts: str, width: str, by: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts by tumbling, or sliding, event-time window with a watermark: rows later than that are dropped in append mode."""
+    e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    return e.groupBy(F.window("__ts", width, slide).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
+
+
+def session_counts(events: DataFrame, ts: str, gap: str, by: str, late: str = "10 minutes") -> DataFrame:
+    """Sessions of each key: events with less than the gap between them; start, end (last event and gap) and number."""
     e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-    return e.groupBy(F.window("__ts", width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
+    return e.groupBy(by, F.session_window("__ts", gap).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Pairs of a key's events of which the right one is at most ``within`` later. On streams, the watermarks bound what is kept.
+
+    Columns of both sides must differ, but for the key.
+    """
+    l = left.withColumn(left_ts, F.col(left_ts).cast("timestamp"))
+    r = right.withColumn(right_ts, F.col(right_ts).cast("timestamp")).withColumnRenamed(by, "__by")
+    if left.isStreaming:
+        l, r = l.withWatermark(left_ts, late), r.withWatermark(right_ts, late)
+    near = (F.col(by) == F.col("__by")) & (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"interval {within}"))
+    return l.join(r, near).drop("__by")
+
+
+def pull(spark: SparkSession, fetch, path: str, every: float = 0.0, continue_on_error: bool = False, most: int | None = None, wait=None) -> int:
+    """Poll a source: fetch() gives a DataFrame of events, or None; each is appended to path as JSON. Returns the polls that gave some.
+
+    The first poll must succeed. After that an error ends the loop, or is passed over with ``continue_on_error``; EOFError
+    always ends it, without an error; empty polls are skipped. ``most`` polls are made at most.
+    """
+    import time
+
+    given, n = 0, 0
+    while most is None or n < most:
+        try:
+            events = fetch()
+        except EOFError:
+            if not n:
+                raise
+            break
+        except Exception:
+            if not (n and continue_on_error):
+                raise
+            events = None
+        if events is not None and not events.isEmpty():
+            events.write.mode("append").json(path)
+            given += 1
+        n += 1
+        (wait or time.sleep)(every)
+    return given
 
 
 def dedup(events: DataFrame, keys: list[str], ts: str, within: str = "1 hour") -> DataFrame:
@@ -90,12 +144,15 @@ def replicate(spark: SparkSession, source: str, label: str = "sync") -> DataFram
 
 
 def change_feed(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """``key, action`` of what differs between two states: CREATE, UPDATE or DELETE. Rows are compared by one hash."""
-    a = before.select(F.col(key).alias("k"), F.xxhash64(*before.columns).alias("ha"))
-    b = after.select(F.col(key).alias("k"), F.xxhash64(*before.columns).alias("hb"))
-    both = a.join(b, "k", "full")
+    """``key, action`` of what differs between two states: CREATE, UPDATE or DELETE.
+
+    Rows are compared by a hash of their values and of which are null (a hash of values alone passes over nulls). Null keys
+    are one key.
+    """
+    state = lambda df, k, h: df.select(F.col(f"`{key}`").alias(k), F.xxhash64(*[x for c in before.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]).alias(h))
+    both = state(before, "k", "ha").join(state(after, "j", "hb"), F.col("k").eqNullSafe(F.col("j")), "full")
     action = F.when(F.col("ha").isNull(), "CREATE").when(F.col("hb").isNull(), "DELETE").when(F.col("ha") != F.col("hb"), "UPDATE")
-    return both.select(F.col("k").alias(key), action.alias("action")).where("action IS NOT NULL")
+    return both.select(F.coalesce("k", "j").alias(key), action.alias("action")).where("action IS NOT NULL")
 
 
 def stateful_gate(events: DataFrame, by: str, start, schema: str):

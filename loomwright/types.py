@@ -31,13 +31,13 @@ def find_native(name: str) -> str | None:
     return next((k for n, k in NATIVE.items() if n.lower() == name.lower()), None)
 
 
-def declared_format(s: dict) -> str | None:
-    """An extension key ``x-...-format`` comes before the standard one."""
-    return next((v for k, v in s.items() if k.startswith("x-") and k.endswith("-format")), s.get("format"))
+def declared_format(s: dict, extension: str | None = None) -> str | None:
+    """The value of the extension key, if one is named and there, comes before the standard one."""
+    return s.get(extension, s.get("format")) if extension else s.get("format")
 
 
-def integer_type(s: dict) -> T.DataType:
-    kind = declared_format(s)
+def integer_type(s: dict, extension: str | None = None) -> T.DataType:
+    kind = declared_format(s, extension)
     if kind in ("int32", "int64", "uint32", "uint64"):
         return KINDS[kind.upper()]
     if s.get("minimum", -1) >= 0:
@@ -45,31 +45,31 @@ def integer_type(s: dict) -> T.DataType:
     return T.IntegerType()
 
 
-def from_json_schema(s: dict, root: dict | None = None) -> T.DataType:
-    """The Spark type of a JSON Schema; $ref is looked up in $defs or definitions of the root."""
+def from_json_schema(s: dict, root: dict | None = None, extension: str | None = None) -> T.DataType:
+    """The Spark type of a JSON Schema; $ref is looked up in $defs or definitions of the root. extension: a key that names formats."""
     root = s if root is None else root
     if "$ref" in s:
         at = root
         for part in s["$ref"].removeprefix("#/").split("/"):
             at = at[part]
-        return from_json_schema(at, root)
+        return from_json_schema(at, root, extension)
     for key in ("anyOf", "oneOf"):
         if len(s.get(key, [])) == 2 and any(x.get("type") == "null" for x in s[key]):
-            return from_json_schema(next(x for x in s[key] if x.get("type") != "null"), root)
+            return from_json_schema(next(x for x in s[key] if x.get("type") != "null"), root, extension)
     kind = s.get("type", "object" if "properties" in s else "string")
     if kind == "boolean":
         return T.BooleanType()
     if kind == "integer":
-        return integer_type(s)
+        return integer_type(s, extension)
     if kind == "number":
-        return T.FloatType() if (declared_format(s)) == "float" else T.DoubleType()
+        return T.FloatType() if declared_format(s, extension) == "float" else T.DoubleType()
     if kind == "array":
-        return T.ArrayType(from_json_schema(s.get("items", {}), root))
+        return T.ArrayType(from_json_schema(s.get("items", {}), root, extension))
     if kind == "object":
         if "properties" not in s and isinstance(s.get("additionalProperties"), dict):
-            return T.MapType(T.StringType(), from_json_schema(s["additionalProperties"], root))
+            return T.MapType(T.StringType(), from_json_schema(s["additionalProperties"], root, extension))
         need = set(s.get("required", []))
-        return T.StructType([T.StructField(sanitize(n), t := from_json_schema(p, root), n not in need and not isinstance(t, (T.ArrayType, T.MapType))) for n, p in s.get("properties", {}).items()])
+        return T.StructType([T.StructField(sanitize(n), t := from_json_schema(p, root, extension), n not in need and not isinstance(t, (T.ArrayType, T.MapType))) for n, p in s.get("properties", {}).items()])
     return {"byte": T.BinaryType(), "binary": T.BinaryType(), "duration": T.DayTimeIntervalType(), "date-time": T.TimestampType()}.get(s.get("format"), T.StringType())
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from loomwright import catalogue
+from loomwright import catalogue, catalogue_extended  # noqa: F401 -- registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

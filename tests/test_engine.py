@@ -174,7 +174,8 @@ def test_json_schema(spark):
     plain = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.ArrayType(T.StringType()), False), T.StructField("c", T.StructType([T.StructField("d", T.DoubleType())]))])
     assert types.from_json_schema(types.to_json_schema(plain)).simpleString() == plain.simpleString()
     assert types.find_native("BigInt") == "INT64"
-    assert types.from_json_schema({"type": "integer", "x-own-format": "uint64", "format": "int32"}) == T.DecimalType(20, 0)
+    assert types.from_json_schema({"type": "integer", "x-own-format": "uint64", "format": "int32"}, extension="x-own-format") == T.DecimalType(20, 0)
+    assert types.from_json_schema({"type": "integer", "x-vendor-format": "uint64", "format": "int32"}) == T.IntegerType()
 
 
 def test_actions(spark):
@@ -200,10 +201,16 @@ def test_blobs_and_features(spark):
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("in.txt", "inside")
-    spark.createDataFrame([(bytearray(z.getvalue()),)], "b binary")
+    writers.put_blob(spark, f"{path}-z/a.zip", z.getvalue())
+    assert [(r.member, bytes(r.content)) for r in readers.read_zip(spark, f"{path}-z").collect()] == [("in.txt", b"inside")]
+    with pytest.raises(Exception, match="a line of"):
+        readers.blob_lines(spark, path, ";", max_size=0).collect()
+    many = spark.range(25_000).coalesce(1).select(F.format_string('{"type":"Feature","geometry":{"type":"Point","coordinates":[%d,2]},"properties":{}}', "id").alias("value"))
+    writers.write_feature_collection(many, f"{path}-many")
+    assert spark.read.option("multiLine", True).json(f"{path}-many").select(F.size("features")).collect() == [(25_000,)]
     lines = spark.createDataFrame([('{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":{}}',)], "value string")
     writers.write_feature_collection(lines, f"{path}-fc")
-    assert spark.read.json(f"{path}-fc").select(F.size("features")).first()[0] == 1
+    assert spark.read.option("multiLine", True).json(f"{path}-fc").select(F.size("features")).first()[0] == 1
     with pytest.raises(Exception, match="no Feature"):
         writers.checked_features(spark.createDataFrame([('{"type":"Point"}',)], "value string")).collect()
     with pytest.raises(ValueError, match="no features"):
