@@ -197,7 +197,7 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         spec = json.loads(raw)
-        library = Tokenizer.from_str(raw.decode())
+        library = Tokenizer.from_str(json.dumps({**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.normalize, self.presplit = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.automaton = MergeAutomaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.base import WORD, stored
+from loomwright.llm.base import WORD, dropped, stored
 
 K, SIMILAR = 5, 0.8
 BANDS, LENGTH, SHORT, FEW = 32, 6, 2, 16
@@ -221,7 +221,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        last, edges = edges, stored(small.where("u <> v").distinct(), "edges")
+        dropped(links.sparkSession, last)
         after = sign(edges)
         if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -289,6 +290,7 @@ class Classes:
         wanted = stored(self.texts.join(ids, "rep", "left_semi"), "wanted")
         full = pairs.join(wanted.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         found = stored(verified(full).distinct(), "links")
+        dropped(found.sparkSession, wanted)
         if found.isEmpty():
             return state
         self.links = found if self.links is None else self.links.union(found)
