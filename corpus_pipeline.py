@@ -1,19 +1,21 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing and BPE encoding, each stage over all that the one before kept.
 
 A stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again for the next. All but the last return the columns of documents.
+and read again for the next. All but the last return the columns of documents. What a stage stored on its way is deleted
+when the next one begins, as its result is written by then.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe_automaton, line_chunks, mixing, order_minhash, quality_rules
-from loomwright.llm.base import WORD, shared_dir, stored, table
+from loomwright.llm.base import WORD, dropped, recorded, shared_dir, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,16 +24,40 @@ def _columns(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS[:-1], F.length("text").cast("long").alias("n_chars"))
 
 
+#: Paths that the last stage of each application stored, by its id.
+SCRATCH: dict[str, list[str]] = {}
+
+
+def stage(function):
+    """A stage that cleans up after the one before it, unless its documents are still read from there."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if old := SCRATCH.pop(app, None):
+            read = docs.inputFiles()
+            dropped(spark, *[p for p in old if not any(p.rpartition("/")[2] in f for f in read)])
+        with recorded() as paths:
+            out = function(spark, docs, sf_dir)
+        SCRATCH[app] = paths
+        return out
+
+    return run
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return _columns(quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept"))
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; documents stay, with what is left."""
     return _columns(line_chunks.dedup_lines(docs))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: that with the least id, ids before null ids; of rows with one text, one.
 
@@ -51,11 +77,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _columns(once.join(first, "row", "left_semi"))
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; rows of one output shard are written together, in the shard's order."""
     return _columns(mixing.mix(docs).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place"))
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
     out = bpe_automaton.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -70,8 +98,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, function in STAGES:
         path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
