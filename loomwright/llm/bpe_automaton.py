@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
 
 #: Words kept per worker; the memo is emptied when it is full, so this bounds memory and no result depends on it.
-MEMO = 200_000
+MEMO = 150_000
 #: Table states kept per worker, likewise.
 STATES = 150_000
 OUT_BYTES = 4 << 20
@@ -202,7 +203,8 @@ class WordCodec:
         model = spec["model"]
         self.automaton = MergeAutomaton(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = {**dict(enumerate(self.automaton.labels)), **{i: t for t, i in self.added.items()}}
+        labels = {**dict(enumerate(self.automaton.labels)), **{i: t for t, i in self.added.items()}}
+        self.label_array = np.array([labels.get(i, "") for i in range(max(labels, default=-1) + 1)], object)
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PIECES).findall
         self.spaces = re.compile(f"[{SPACES}]+")
@@ -246,10 +248,6 @@ class WordCodec:
                 self._words[word] = got
         return got
 
-    def spell(self, ids) -> str:
-        """Emit the labels of the arcs; the vocabulary's file names no decoder, so labels are joined by blanks."""
-        return " ".join(map(self.labels.__getitem__, ids))
-
     def words(self, text: str):
         """(word, id of an added token or None) in text order."""
         parts = self.at_added.split(text) if self.at_added and "<|" in text else (text,)
@@ -270,13 +268,14 @@ class WordCodec:
         return joined(got)
 
     def release(self) -> None:
-        """Give memos back when a task ends: the worker process lives on and may run other operators next."""
-        self._words, self._pieces = {}, {}
+        """Give the automaton's tables back when a task ends; the memo of words, which is bounded, serves the worker's next task."""
+        self._pieces = {}
         self.automaton.reset()
         self.automaton._known, self.automaton._arcs = {}, {0: {}}
 
     def decode(self, ids: bytes) -> str:
-        return self.spell(struct.unpack(f"<{len(ids) // 4}I", ids))
+        """Emit the labels of the arcs; the vocabulary's file names no decoder, so labels are joined by blanks."""
+        return " ".join(self.label_array[np.frombuffer(ids, "<u4")].tolist())
 
 
 @lru_cache(2)

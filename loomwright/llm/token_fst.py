@@ -92,8 +92,7 @@ class TextCounter:
         self.first = re.compile(f"[{SPACES}]").search
 
     def release(self) -> None:
-        """Give memos back when a task ends."""
-        self._words = {}
+        """Give the tables back when a task ends; the memo of words, which is bounded, serves the worker's next task."""
         self.fst._reset()
         self.codec.release()
 
