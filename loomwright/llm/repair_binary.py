@@ -52,10 +52,12 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST):
     """
     n, made, rules = len(ids), 0, [np.empty((0, 2), np.uint32)]
     sym, last, gone = ids.astype(np.uint32), last.copy(), np.zeros(n, bool)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    pos = np.flatnonzero(~last)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    pos = np.flatnonzero(~last).astype(np.int32)
     while len(pos):
-        codes = (sym[pos].astype(np.uint64) << np.uint64(32)) | sym[after[pos]]
+        narrow = base + made <= 1 << 16  # two symbols fit 32 bits, which sort faster
+        wide, shift, odd = (np.uint32, 16, 0x9E3779B1) if narrow else (np.uint64, 32, 0x9E3779B97F4A7C15)
+        codes = (sym[pos].astype(wide) << wide(shift)) | sym[after[pos]]
         order = np.sort(codes)
         starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         counts = np.diff(np.append(starts, len(order)))
@@ -64,9 +66,9 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST):
         if not len(chosen):
             break
         by_count = np.lexsort((chosen, -counts))
-        rank = np.empty(len(chosen), np.int64)
-        rank[by_count] = np.arange(len(chosen))
-        place = lambda c: (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES)
+        rank = np.empty(len(chosen), np.int32)
+        rank[by_count] = np.arange(len(chosen), dtype=np.int32)
+        place = lambda c, odd=wide(odd), rest=wide(2 * shift - PLACES): (c * odd) >> rest
         table, shared = np.zeros(1 << PLACES, np.int32), np.zeros(1 << PLACES, bool)
         slots = place(chosen)
         table[slots[by_count[::-1]]] = by_count[::-1]  # the most frequent is written last
@@ -94,10 +96,12 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST):
         after[where] = after[second]
         some = after[where] < n
         before[after[where][some]] = where[some]
-        rules.append(np.stack((chosen[good] >> np.uint64(32), chosen[good] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        rules.append(np.stack((chosen[good] >> wide(shift), chosen[good] & wide((1 << shift) - 1)), 1).astype(np.uint32))
         made += int(good.sum())
-        pos = np.unique(np.concatenate((pos, waiting, where, before[where])))
-        pos = pos[pos >= 0]
+        marked = np.zeros(n + 1, bool)  # a place before the first one is -1, the last of these
+        for some in (pos, waiting, where, before[where]):
+            marked[some] = True
+        pos = np.flatnonzero(marked[:n]).astype(np.int32)
         pos = pos[~(gone[pos] | last[pos])]
     return sym[~gone], last[~gone], np.concatenate(rules)
 
@@ -115,18 +119,41 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    out = symbols.astype(np.int64)
-    while len(out) and out.max() >= base:
-        big = out >= base
-        size = np.where(big, 2, 1)
-        at = np.cumsum(size) - size
-        wide = np.empty(int(size.sum()), np.int64)
-        wide[at] = np.where(big, rules[np.where(big, out - base, 0), 0] if len(rules) else out, out)
-        wide[at[big] + 1] = rules[out[big] - base, 1]
-        out = wide
-    return out.astype(np.uint32)
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all rules' expansions in a row, where each starts, how many each has); a rule only uses rules before it."""
+    count = rule_lengths(rules, base).astype(np.int64)
+    start = np.cumsum(count) - count
+    pool = np.empty(int(count.sum()), np.uint32)
+    places = list(zip(start.tolist(), count.tolist(), strict=True))
+    for (at, n), (a, b) in zip(places, (rules.astype(np.int64) - base).tolist(), strict=True):
+        if a < 0:
+            pool[at] = a + base
+            at += 1
+        else:
+            x, m = places[a]
+            pool[at : at + m] = pool[x : x + m]
+            at += m
+        if b < 0:
+            pool[at] = b + base
+        else:
+            x, m = places[b]
+            pool[at : at + m] = pool[x : x + m]
+    return pool, start, count
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, known: tuple | None = None) -> np.ndarray:
+    """The ids that symbols stand for. known: the rules' expansions, if they are at hand."""
+    rule = symbols.astype(np.int64) - base
+    if not len(rule) or rule.max() < 0:
+        return symbols.astype(np.uint32)
+    pool, start, count = expansions(rules, base) if known is None else known
+    big = rule >= 0
+    rule = np.maximum(rule, 0)
+    size = np.where(big, count[rule], 1)
+    # plain ids lie behind the pool
+    source = np.where(big, start[rule], len(pool) + np.arange(len(rule)))
+    both = np.concatenate((pool, symbols.astype(np.uint32)))
+    return both[np.repeat(source - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 #: Classes of bytes: blank, other white space, letter, digit, other ASCII, apostrophe, byte of a character beyond ASCII.
