@@ -3,13 +3,13 @@
 The merges of a word-end BPE vocabulary are compiled into a deterministic automaton over token ids whose language is
 exactly the set of correct tokenizations. It starts as one state with a loop for every base symbol. Each merge (u, v) -> w,
 in rank order, inserts one gadget: u now leads to a copy of its old target that has lost the arc v, and every state with
-an arc u gains an arc w to where v led. An arc set is never copied: a state keeps its parent and the one arc that it lost,
-and an arc w exists in a state exactly if its left part u did when w was made, so arcs are looked up along the left spine.
+an arc u gains an arc w to where v led. An arc set is never copied: the states that u leads to, one after the other, lose one
+arc each, the first of them being a copy of where u led when it was made; so what a state lost is looked up by (u, v), along
+these firsts. An arc w exists in a state exactly if its left part u did when w was made: that is looked up along the left spine.
 
-A pre-split word is encoded from left to right. Every prefix has exactly one accepted path. A table state is the set of
-starts whose token may end later, each with the automaton state there; a table entry holds the next table state and the
-arc that ends here. Entries are compiled when first visited. Following the arcs back from the end gives the ids; decoding
-emits the labels of the arcs.
+A pre-split word is encoded from left to right, along the longest arc that leads on. Every prefix has exactly one accepted
+path, so the state at a place is the same whenever the walk comes there, and a place that leads nowhere is not tried again.
+A word that is a token is the one arc from the start. The ids are the arcs of the path; decoding emits their labels.
 
 Results by case: a null text is the empty text (no tokens, decoded text ''); empty texts likewise; repeated rows give
 repeated results; an empty table gives an empty result; other columns are kept, and operator columns that clash with
@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
 
-#: Words kept per worker; the memo is emptied when it is full, so this bounds memory and no result depends on it.
+#: Words kept per worker, and as many of those known before; this bounds memory and no result depends on it.
 MEMO = 150_000
-#: Table states kept per worker, likewise.
+#: States of the counting transducer's table kept per worker, likewise.
 STATES = 150_000
 OUT_BYTES = 4 << 20
 
@@ -62,8 +62,9 @@ class MergeAutomaton:
         self.born: list[int] = [-1] * size
         self.target = [0] * size
         self.live = [True] * size
-        self.parent, self.lost, self.when = [-1], [-1], [-1]
-        self._arcs: dict[int, dict[int, int]] = {0: {}}
+        self.owner, self.when = [-1], [-1]  # of each state: the token whose gadget made it, and when
+        self.origin = [0] * size  # the state that a token led to when it was made
+        self.gadgets: dict[int, int] = {}  # the state that lost arc v after u, by u * size + v
         self._known: dict[int, bool] = {}
         self._size = size
         made = {vocab[a + b] for a, b in pairs}
@@ -71,31 +72,37 @@ class MergeAutomaton:
             self.live[w] = False  # until its merge is reached
         for time, (a, b) in enumerate(pairs):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
-        self._known.clear()
         plain = [t.removesuffix(suffix) if suffix else t for t in self.labels]
-        self.width = [len(t) for t in plain]
         self.prefixes = {t[:k] for t in plain for k in range(1, len(t) + 1)}
-        self.reset()
+        self.reach: dict[str, int] = {}  # the length of the longest token that begins with these four characters
+        for t in plain:
+            if len(t) > 3:
+                self.reach[t[:4]] = max(self.reach.get(t[:4], 0), len(t))
+        # tokens that end a word, by what is before the suffix; the start has lost no arc
+        self.whole = {t.removesuffix(suffix): i for t, i in vocab.items() if t.endswith(suffix) and self.live[i]}
 
     def _gadget(self, u: int, v: int, w: int, time: int) -> None:
-        middle = self.target[u]
-        if self.live[w] or not (self.live[u] and self.live[v]) or not self._walk(middle, v):
+        if self.live[w] or not (self.live[u] and self.live[v]) or not self._allows(self.target[u], v):
             return  # the pair can't occur any more: this merge never applies
         after = self.target[v]
-        self.parent.append(middle)
-        self.lost.append(v)
+        self.owner.append(u)
         self.when.append(time)
-        self.target[u] = len(self.parent) - 1
-        self.left[w], self.born[w], self.target[w], self.live[w] = u, time, after, True
+        self.target[u] = self.gadgets[u * self._size + v] = len(self.owner) - 1
+        self.left[w], self.born[w], self.target[w], self.origin[w], self.live[w] = u, time, after, after, True
 
     def _removed(self, state: int, token: int) -> int | None:
+        """When a state, or one that it is a copy of, lost an arc."""
         while state:
-            if self.lost[state] == token:
-                return self.when[state]
-            state = self.parent[state]
+            u = self.owner[state]
+            gone = self.gadgets.get(u * self._size + token)
+            if gone is not None and gone <= state:
+                return self.when[gone]
+            state = self.origin[u]
         return None
 
-    def _walk(self, state: int, token: int) -> bool:
+    def _allows(self, state: int, token: int) -> bool:
+        if not self.live[token]:
+            return False
         at = 1 << 60
         while True:
             gone = self._removed(state, token)
@@ -105,85 +112,71 @@ class MergeAutomaton:
                 return True
             at, token = self.born[token], self.left[token]
 
-    def arcs_lost(self, state: int) -> dict[int, int]:
-        """All arcs that a state has lost, and when; made once for each state that is visited."""
-        found = self._arcs.get(state)
-        if found is None:
-            found, s = {}, state
-            while s:
-                found[self.lost[s]] = self.when[s]
-                s = self.parent[s]
-            self._arcs[state] = found
-        return found
-
     def allows(self, state: int, token: int) -> bool:
         key = state * self._size + token
         known = self._known.get(key)
         if known is None:
-            lost, left, born, t, at = self.arcs_lost(state), self.left, self.born, token, 1 << 60
-            known = self.live[token]
-            while known:
-                gone = lost.get(t)
-                if gone is not None and gone <= at:
-                    known = False
-                elif left[t] < 0:
-                    break
-                else:
-                    at, t = born[t], left[t]
-            if len(self._known) > 2 * MEMO:
+            if len(self._known) > MEMO:
                 self._known.clear()
-            self._known[key] = known
+            known = self._known[key] = self._allows(state, token)
         return known
 
-    def _take(self, pending: tuple, c: str, end: str) -> int:
-        """The one arc that completes a token here and is allowed where that token starts."""
-        vocab = self.vocab
-        for seen, state in pending:
-            t = vocab.get(seen + c + end)
-            if t is not None and self.allows(state, t):
-                return t
-        raise ValueError(f"no token for {c!r}")
-
-    def step(self, s: int, c: str) -> tuple[int, int]:
-        """Compile the table entry (s, c): the next table state, and the arc that ends after c."""
-        t, prefixes = self._take(self.keys[s], c, ""), self.prefixes
-        key = (*[(seen + c, q) for seen, q in self.keys[s] if seen + c in prefixes], ("", self.target[t]))
-        to = self.index.get(key)
-        if to is None:
-            to = self.index[key] = len(self.keys)
-            self.keys.append(key)
-            self.table.append({})
-            self.ends.append({})
-        self.table[s][c] = to, t
-        return to, t
-
-    def reset(self) -> None:
-        """A table state is the set of starts that are still pending: (characters since, automaton state there)."""
-        start = (("", 0),)
-        self.keys, self.index, self.table, self.ends = [start], {start: 0}, [{}], [{}]
-
     def encode(self, word: str) -> list[int]:
         """The accepted path of a word in the byte alphabet; its last symbol carries the end suffix."""
-        if len(self.keys) > STATES:
-            self.reset()  # bounds memory; entries are compiled anew as they are visited
-        s, arcs, table = 0, [], self.table
-        for c in word[:-1]:
-            s, t = table[s].get(c) or self.step(s, c)
-            arcs.append(t)
-        last = word[-1]
-        t = self.ends[s].get(last)
-        if t is None:
-            t = self.ends[s][last] = self._take(self.keys[s], last, self.suffix)
-        out, i, width = [t], len(word) - self.width[t], self.width
-        while i:
-            t = arcs[i - 1]
-            out.append(t)
-            i -= width[t]
-        return out[::-1]
-
-
-def joined(parts: list[tuple[int, bytes]]) -> tuple[int, bytes]:
-    return sum([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        t = self.whole.get(word)
+        if t is not None:
+            return [t]
+        vocab, whole, target, reach, known, n = self.vocab, self.whole, self.target, self.reach, self._known, len(word)
+        size = self._size
+        path, ids, dead, i, q = [], [], set(), 0, 0
+        k = min(n, reach.get(word[:4], 3))
+        while True:
+            while k:
+                j = i + k
+                t = whole.get(word[i:]) if j == n else vocab.get(word[i:j])
+                if t is not None and j not in dead:
+                    ok = known.get(q * size + t)
+                    if self.allows(q, t) if ok is None else ok:
+                        break
+                k -= 1
+            if k:
+                ids.append(t)
+                if j == n:
+                    return ids
+                path.append((i, q))
+                i, q = j, target[t]
+                k = reach.get(word[i : i + 4], 3)
+                if k > n - i:
+                    k = n - i
+            elif path:
+                dead.add(i)
+                (j, q), _ = path.pop(), ids.pop()
+                i, k = j, i - j - 1
+            else:
+                raise ValueError(f"no tokens for {word!r}")
+
+
+class Memo(dict):
+    """A function's values: those of the last MEMO arguments that weren't known, and of up to as many before these.
+
+    A value that is asked for again is kept when the older ones go. Arguments of over 64 characters are not kept.
+    """
+
+    def __init__(self, function):
+        super().__init__()
+        self.function, self.older = function, {}
+
+    def __missing__(self, x: str) -> bytes:
+        got = self.older.get(x)
+        if got is None:
+            got = self.function(x)
+            if len(x) > 64:
+                return got
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[x] = got
+        return got
 
 
 class WordCodec:
@@ -207,46 +200,36 @@ class WordCodec:
         self.label_array = np.array([labels.get(i, "") for i in range(max(labels, default=-1) + 1)], object)
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PIECES).findall
+        self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall  # the same, where there is no other character
         self.spaces = re.compile(f"[{SPACES}]+")
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the vocabulary doesn't
-        self.alphabet = byte_alphabet()
-        self._words: dict[str, tuple[int, bytes]] = {}
-        self._pieces: dict[str, tuple[int, bytes]] = {}
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.piece, self.words_known = Memo(self._piece), Memo(self._word)
 
     def split(self, word: str) -> list[str]:
         """Pieces of one word without white space, in the byte alphabet."""
-        if not word.isascii():
-            if "Cn" in map(unicodedata.category, word):
-                return [p for p, _ in self.presplit(self.normalize(word))]
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        word = word.lower()
-        found = self.pieces(word)
         if word.isascii():
-            return found if word.isprintable() else ["".join(map(self.alphabet.__getitem__, p.encode())) for p in found]
-        return ["".join(map(self.alphabet.__getitem__, p.encode())) for p in found]
+            word = word.lower()
+            if word.isalpha():
+                return [word]
+            found = self.ascii_pieces(word)
+            if word.isprintable():
+                return found
+        else:
+            letters = word.isalpha()  # then all code points are assigned
+            if not letters and "Cn" in map(unicodedata.category, word):
+                return [p for p, _ in self.presplit(self.normalize(word))]
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            found = [word] if letters and word.isalpha() else self.pieces(word)
+        return [p.encode().decode("latin-1").translate(self.alphabet) for p in found]
 
-    def piece(self, piece: str) -> tuple[int, bytes]:
-        got = self._pieces.get(piece)
-        if got is None:
-            ids = self.automaton.encode(piece)
-            got = len(ids), struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= 64:
-                if len(self._pieces) >= MEMO:
-                    self._pieces.clear()
-                self._pieces[piece] = got
-        return got
+    def _piece(self, piece: str) -> bytes:
+        ids = self.automaton.encode(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def word(self, word: str) -> tuple[int, bytes]:
-        """(number of tokens, ids as little-endian 32 bits)."""
-        got = self._words.get(word)
-        if got is None:
-            parts = [self.piece(p) for p in self.split(word)]
-            got = parts[0] if len(parts) == 1 else joined(parts)
-            if len(word) <= 64:
-                if len(self._words) >= MEMO:
-                    self._words.clear()
-                self._words[word] = got
-        return got
+    def _word(self, word: str) -> bytes:
+        parts = [self.piece[p] for p in self.split(word)]
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
     def words(self, text: str):
         """(word, id of an added token or None) in text order."""
@@ -259,19 +242,18 @@ class WordCodec:
                     yield w, None
 
     def encode(self, text: str | None) -> tuple[int, bytes]:
-        text = text or ""
+        """(number of tokens, ids as little-endian 32 bits)."""
+        text, word = text or "", self.words_known.__getitem__
         if "<|" in text or self.odd(text):
-            got = [self.word(w) if i is None else (1, struct.pack("<I", i)) for w, i in self.words(text)]
+            ids = b"".join([word(w) if i is None else struct.pack("<I", i) for w, i in self.words(text)])
         else:
-            known = self._words
-            got = [known.get(w) or self.word(w) for w in text.split()]
-        return joined(got)
+            ids = b"".join(map(word, text.split()))
+        return len(ids) // 4, ids
 
     def release(self) -> None:
-        """Give the automaton's tables back when a task ends; the memo of words, which is bounded, serves the worker's next task."""
-        self._pieces = {}
-        self.automaton.reset()
-        self.automaton._known, self.automaton._arcs = {}, {0: {}}
+        """Give memory back when a task ends; the memo of words, which is bounded, serves the worker's next task."""
+        self.piece = Memo(self._piece)
+        self.automaton._known = {}
 
     def decode(self, ids: bytes) -> str:
         """Emit the labels of the arcs; the vocabulary's file names no decoder, so labels are joined by blanks."""
@@ -290,14 +272,18 @@ def vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
+def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make, carry: list[str] | None = None):
     """df with columns appended: make() gives a function of a text, which returns their values, and one to call when a task ends.
 
-    Columns of df that clash with the new ones are replaced. Batches are cut after OUT_BYTES of text.
+    Columns of df that clash with the new ones are replaced; carry names the other columns to keep (all by default).
+    Batches are cut after OUT_BYTES of text.
     """
     new = {f.name.lower() for f in fields}
-    keep = [f for f in df.schema.fields if f.name.lower() not in new]
-    src = df.select(*[df[f"`{f.name}`"] for f in keep], df[f"`{text}`"].cast("string").alias("__text__"))
+    keep = [f for f in df.schema.fields if f.name.lower() not in new and (carry is None or f.name in carry)]
+    # a text that is kept as it is goes to the worker once
+    at = next((k for k, f in enumerate(keep) if f.name == text and f.dataType == T.StringType()), len(keep))
+    own = [df[f"`{f.name}`"] for f in keep]
+    src = df.select(*own, *[df[f"`{text}`"].cast("string").alias("__text__")] * (at == len(keep)))
     names, schema = [f.name for f in keep], T.StructType([*keep, *fields])
 
     def run(batches):
@@ -305,7 +291,7 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
 
         (one, release), arrow = make(), to_arrow_schema(schema)
         for batch in batches:
-            texts, start, size, rows = batch.column(len(names)), 0, 0, []
+            texts, start, size, rows = batch.column(at), 0, 0, []
             for i in range(batch.num_rows):
                 t = texts[i].as_py()
                 rows.append(one(t))
@@ -321,8 +307,8 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make):
     return src.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", decoded: bool = True) -> DataFrame:
-    """df with ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32 bits) and, if asked for, ``decoded`` string: these ids decoded."""
+def encode(df: DataFrame, tokenizer: str, text: str = "text", decoded: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """df, or its columns named by carry, with ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32 bits) and, if asked for, ``decoded`` string: these ids decoded."""
     raw = vocabulary(df, tokenizer)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
@@ -335,7 +321,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", decoded: bool = Tr
 
         return (both if decoded else c.encode), c.release
 
-    return map_texts(df, text, fields if decoded else fields[:2], make)
+    return map_texts(df, text, fields if decoded else fields[:2], make, carry)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:

@@ -60,6 +60,36 @@ def test_automaton_accepts_only_correct_tokenizations():
             assert automaton.encode(word) == by_rank(word), word
 
 
+def test_bpe_keeps_common_words_and_little_else(monkeypatch):
+    """Common words are cut once, however many rare ones come between; the automaton holds no table of what it has walked."""
+    import random
+    import tracemalloc
+
+    draw = random.Random(5)
+    rare = lambda: "".join(draw.choice("etaoinsrhldcumfpgwybvkxjqz") for _ in range(12))
+    c = bpe_automaton.WordCodec(open(WORD_BPE, "rb").read())
+    tracemalloc.start()
+    c.encode(" ".join(rare() for _ in range(40_000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 28 << 20
+    monkeypatch.setattr(bpe_automaton, "MEMO", 100)
+    cut, split = Counter(), c.split
+    monkeypatch.setattr(c, "split", lambda w: cut.update([w]) or split(w))
+    common = [f"{a}{b}q" for a in "abcd" for b in "abcde"]
+    for _ in range(60):
+        c.encode(" ".join([*common, *(rare() for _ in range(40))]))
+    assert max(cut[w] for w in common) == 1
+
+
+def test_bpe_carries_the_named_columns(docs):
+    got = bpe_automaton.encode(docs, WORD_BPE, carry=["doc_id"])
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    want = bpe_automaton.encode(docs, WORD_BPE)
+    key = lambda r: (r.doc_id or -1, bytes(r.ids))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
 def test_token_counts_match_library_for_any_chunk(docs):
     lib = Tokenizer.from_file(WORD_BPE)
     for r in token_fst.token_counts(docs, WORD_BPE, limit=20).collect():
