@@ -4,7 +4,8 @@ Two views of a document: its words and word shapes (text), and its source, langu
 logistic model over hashed features. In every round both models are fitted; each then labels the unlabelled pool, and its
 most confident labels join the other's training set. At the end both views are calibrated (Platt) and combined by a
 logistic model of the two log-odds on a calibration fold, and the cutoff keeps all but FALSE_REJECTION of all good documents
-that were neither trained nor calibrated on, however many: they are scored with the model, and their scores counted in bins.
+that were neither trained nor calibrated on, however many: their scores are counted in bins. Every document is scored once,
+and the scores are stored, so that no text goes through a join.
 
 The labelled rows and the pool are bounded samples by hash (LABELLED, POOL: documented parameters); every document is
 scored, in whole. Weights are broadcast: their size is fixed (2 * DIM numbers).
@@ -186,15 +187,16 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     names = (key, text, source, lang, n_chars)
     model = train(docs, labels, *names, pool_size)
     used = model.pop("used")
+    out = scored(docs, model, *names)
     if used:
         good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y")).where("y = 1")
         # at most LABELLED ids
         good = good.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in used], "id long")), "id", "left_anti")
-        known = docs.join(good, F.col(f"`{key}`").cast("long") == good["id"], "left_semi")
-        cutoff = low_quantile(scored(known, model, *names), FALSE_REJECTION)
-        if cutoff is not None:
-            model["cutoff"] = min(0.5, cutoff)
-    return scored(docs, model, *names)
+        out = stored(out, "scored")
+        cutoff = low_quantile(out.join(good, out["doc_id"] == good["id"], "left_semi"), FALSE_REJECTION)
+        cutoff = model["cutoff"] if cutoff is None else min(0.5, cutoff)
+        out = out.withColumn("kept", F.col("score") >= cutoff)
+    return out
 
 
 def scored(docs: DataFrame, model: dict, key: str, text: str, source: str, lang: str, n_chars: str) -> DataFrame:

@@ -522,6 +522,19 @@ def test_cutoff_is_set_on_all_labels(spark, sf, monkeypatch):
     assert good - 200 <= seen[0] < good and {r.kept for r in got if r.score < 0.25} <= {False}
 
 
+def test_no_text_is_joined_for_the_cutoff(spark, sf, monkeypatch):
+    """Documents are scored once, and the labelled ones are found among the scores."""
+    docs, labels = (spark.read.parquet(sf.replace("0.001", "0.01") + f"/{t}.parquet") for t in ("documents", "labels"))
+    calls, score, seen = [], cotraining.scored, []
+    monkeypatch.setattr(cotraining, "scored", lambda *a: calls.append(1) or score(*a))
+    quantile = cotraining.low_quantile
+    monkeypatch.setattr(cotraining, "low_quantile", lambda v, share: seen.append(v) or quantile(v, share))
+    got = cotraining.classify(docs, labels).collect()
+    assert len(calls) == 1 and not re.search(r"\btext#", seen[0]._jdf.queryExecution().optimizedPlan().toString())
+    cutoff = min(0.5, min(np.quantile([r.score for r in seen[0].collect()], 0.002, method="lower"), 0.5))
+    assert {r.kept for r in got} == {True, False} and all(r.kept == (r.score >= cutoff) for r in got)
+
+
 def test_ids_hash_of_query(spark, docs):
     r = bpe_automaton.encode(docs.where("doc_id = 4"), WORD_BPE).select(F.sha2("ids", 256).alias("h"), "ids").first()
     assert r.h == hashlib.sha256(r.ids).hexdigest()
