@@ -53,7 +53,7 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe_automaton.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    out = bpe_automaton.encode(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
